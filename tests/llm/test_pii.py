@@ -1,0 +1,87 @@
+"""Spans against Python's re over the contract's plain patterns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+from nearfield.llm.pii import find_pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits))))
+    return total % 10 == 0
+
+
+def holds(kind, m):
+    digits = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in m.split("."))
+    if kind == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":
+        return 9 <= len(digits) <= 15
+    return True
+
+
+def expected(text):
+    found = []
+    for i, (kind, pattern) in enumerate(PLAIN.items()):
+        found += [(m.start(), i, m.end(), kind) for m in re.finditer(pattern, text or "") if holds(kind, m[0])]
+    return [f"{kind}:{start}:{end}" for start, _, end, kind in sorted(found)]
+
+
+def hold(rows, texts):
+    got = {r["doc_id"]: r for r in rows}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        want, r = expected(text), got[i]
+        assert [x for x in r["spans"].split(",") if x and not x.startswith("iban")] == want, text
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        for kind in PLAIN:
+            assert r[f"n_{kind}"] == sum(x.startswith(kind) for x in want)
+
+
+TEXTS = [
+    None,
+    "",
+    "no data",
+    "é😀 write a.b+c@d-e.org.uk, or x@y",
+    "a@b.com_x@c.org a@b.c.d@e.f @x.y a@b..c",
+    "1.2.3.4.5.6.7.8 999.1.1.1 0001.002.255.255 1.2.3",
+    "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111  1111 1111 1111",
+    "+1 (212) 555-0199, +44.20.7946.0018. +1-2 +123456789012345678",
+    "+4111111111111111 1.1.1.1@1.1",
+    "IBAN DE89 3704 0044 0532 0130 00, GB82WEST12345698765432 DE88370400440532013000",
+    "a" * 5000 + " " + "1" * 5000 + " 1" * 3000 + ".a" * 3000 + "@" + "a." * 3000,
+    "x@y.zz " * 1500,
+]
+
+
+def test_against_plain_patterns(spark):
+    rng = random.Random(3)
+    texts = TEXTS + ["".join(rng.choice("a1.+@- (2)3%_é4") for _ in range(rng.randrange(120))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hold(find_pii(docs).collect(), texts)
+
+
+def test_iban_and_context(spark):
+    docs = spark.createDataFrame([(1, TEXTS[9], "x")], "doc_id long, text string, spans string")
+    (row,) = find_pii(docs).collect()
+    assert [x for x in row["spans"].split(",") if x.startswith("iban")] == ["iban:5:32", "iban:34:56"]
+    assert row["scores"].split(",")[0] == "0.8"
+
+
+def test_repeated_null_and_empty(spark):
+    kind = "doc_id long, text string"
+    assert find_pii(spark.createDataFrame([], kind)).count() == 0
+    rows = find_pii(spark.createDataFrame([(None, "a@b.cc"), (1, "a@b.cc"), (1, "a@b.cc")], kind)).collect()
+    assert len(rows) == 3 and {r["n_email"] for r in rows} == {1}
