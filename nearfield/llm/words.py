@@ -41,41 +41,53 @@ def _grown(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _spans(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _grown(len(joined) + 1)
-    sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum((np.frombuffer(joined, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(joined)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+def _sums(joined: bytes) -> np.ndarray:
+    """Running sums from which the hash of any stretch follows."""
+    up = _grown(len(joined) + 1)[0]
+    sums = np.empty(len(joined) + 1, np.uint64)
+    sums[0] = 0
+    codes = np.frombuffer(joined, np.uint8).astype(np.uint64)
+    codes += np.uint64(1)
+    codes *= up[: len(joined)]
+    np.cumsum(codes, out=sums[1:])
+    return sums
+
+
+def hashes(words: list[bytes], sizes: tuple[int, ...], begin: int = 0) -> list[np.ndarray]:
+    """For each size k the hash of every run of k words, in order; last, if begin, the hash of
+    each word's first `begin` bytes, 0 for shorter words.
+    """
+    out: list[list[np.ndarray]] = [[] for _ in range(len(sizes) + bool(begin))]
+    overlap = max(sizes, default=1) - 1
+    for at in range(0, len(words), _CHUNK):
+        joined = b" ".join(words[at : at + _CHUNK + overlap])
+        sums, down = _sums(joined), _grown(len(joined) + 1)[1]
+        ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined))
+        starts = np.append(0, ends[:-1] + 1)
+        for kept, k in zip(out, sizes, strict=False):
+            n = min(_CHUNK, len(ends) - k + 1)
+            if n > 0 and k > 0:
+                a, z = starts[:n], ends[k - 1 : k - 1 + n]
+                kept.append(mix((sums[z] - sums[a]) * down[a]))
+        if begin:
+            a, z = starts[:_CHUNK], ends[:_CHUNK]
+            h = mix((sums[np.minimum(a + begin, z)] - sums[a]) * down[a])
+            h[z - a < begin] = 0
+            out[-1].append(h)
+    return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.empty(0, np.uint64) for x in out]
 
 
 def kgrams(words: list[bytes], k: int) -> np.ndarray:
     """Hash of every run of k words, in order; empty if there are fewer words."""
-    n = len(words)
-    if n < k or not k:
-        return np.empty(0, np.uint64)
-    out = []
-    for at in range(0, n - k + 1, _CHUNK):
-        part = words[at : at + _CHUNK + k - 1]
-        lengths = np.fromiter(map(len, part), np.int64, len(part))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        out.append(_spans(b" ".join(part), starts[: len(part) - k + 1], ends[k - 1 :]))
-    return np.concatenate(out) if len(out) > 1 else out[0]
-
-
-def prefixes(words: list[bytes], size: int) -> np.ndarray:
-    """Hash of each word's first `size` bytes; 0 for shorter words."""
-    out = []
-    for at in range(0, len(words), _CHUNK):
-        part = words[at : at + _CHUNK]
-        lengths = np.fromiter(map(len, part), np.int64, len(part))
-        starts = np.cumsum(lengths + 1) - 1 - lengths
-        h = _spans(b" ".join(part), starts, starts + np.minimum(lengths, size))
-        h[lengths < size] = 0
-        out.append(h)
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    return hashes(words, (k,))[0]
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
 
 
 def shingles(words: list[bytes], k: int) -> np.ndarray:
     """Sorted distinct hashes of k-word runs; a text of fewer words, but not none, is one run."""
-    return np.unique(kgrams(words, min(k, len(words))))
+    return distinct(kgrams(words, min(k, len(words))))
