@@ -143,5 +143,28 @@ best AS (
   FROM p JOIN r ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
 SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict
 FROM p LEFT JOIN (SELECT * FROM best WHERE place = 1) USING (uid)
+""",
+    "op8_preferences": """
+WITH c AS (SELECT conv_id, {'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t FROM conversations),
+own AS (SELECT conv_id, list(t ORDER BY t.turn, t.role, t.text) AS a FROM c GROUP BY conv_id),
+reply AS (SELECT xor(conv_id, 1) AS conv_id, max(t) AS r FROM c WHERE t.role = 'assistant' GROUP BY ALL),
+both_ AS (
+  SELECT conv_id, a, CASE WHEN a[len(a)].role <> 'assistant' THEN a WHEN r IS NULL THEN a[1:len(a) - 1] ELSE list_append(a[1:len(a) - 1], r) END AS b
+  FROM own LEFT JOIN reply USING (conv_id)),
+cut AS (
+  SELECT conv_id, a, b, coalesce(list_min(list_filter(generate_series(1, least(len(a), len(b))),
+         lambda i: a[i].role <> b[i].role OR a[i].text <> b[i].text)) - 1, least(len(a), len(b))) AS n FROM both_),
+side AS (
+  SELECT conv_id, n, list_transform(a[1:n], lambda x: '<|turn:' || x.role || '|>' || x.text || '<|end|>' || chr(10)) AS p,
+         list_transform(a[n + 1:], lambda x: {'role': x.role, 's': '<|turn:' || x.role || '|>' || x.text || '<|end|>' || chr(10)}) AS a,
+         list_transform(b[n + 1:], lambda x: {'role': x.role, 's': '<|turn:' || x.role || '|>' || x.text || '<|end|>' || chr(10)}) AS b FROM cut)
+SELECT conv_id AS pair_id, n AS n_prompt, coalesce(array_to_string(p, ''), '') AS prompt,
+  array_to_string(list_transform(a, lambda x: x.s), '') AS chosen,
+  array_to_string(list_transform(list_filter(generate_series(1, len(a)), lambda i: a[i].role = 'assistant'), lambda i:
+    (coalesce(list_sum(list_transform(a[1:i - 1], lambda y: length(y.s))), 0) + 9 + length(a[i].role))::BIGINT || ':' || list_sum(list_transform(a[1:i], lambda y: length(y.s)))::BIGINT), ',') AS chosen_mask,
+  array_to_string(list_transform(b, lambda x: x.s), '') AS rejected,
+  array_to_string(list_transform(list_filter(generate_series(1, len(b)), lambda i: b[i].role = 'assistant'), lambda i:
+    (coalesce(list_sum(list_transform(b[1:i - 1], lambda y: length(y.s))), 0) + 9 + length(b[i].role))::BIGINT || ':' || list_sum(list_transform(b[1:i], lambda y: length(y.s)))::BIGINT), ',') AS rejected_mask
+FROM side
 """,
 }
