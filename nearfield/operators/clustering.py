@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naming
 from ..functions import vectors as V
+from ..shipping import ship
 from .search import _matrix, dimension
 
 
@@ -75,6 +76,7 @@ def build_clusters(vectors: DataFrame, k: int, seed: int = 0, steps: int = 20, s
     """
     kind = "bucket_id long, vec_id long, embedding array<float>"
     spark = vectors.sparkSession
+    ship(spark)
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding"))
     dim = dimension(rows)
     if k <= 0 or not dim or rows.where(F.size("embedding") != dim).take(1):
@@ -134,6 +136,7 @@ def split_buckets(rows: DataFrame, large: list[int], first_new: int) -> DataFram
     """
     if not large:
         return rows
+    ship(rows.sparkSession)
     new = {b: first_new + 2 * i for i, b in enumerate(sorted(large))}
 
     def split(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..shipping import ship
 
 #: Queries that one pass over the vectors serves; more are taken in blocks of this size.
 QUERY_BLOCK = 2048
@@ -71,6 +72,7 @@ def knn_exact(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     rows per query and task.
     """
     spark = vectors.sparkSession
+    ship(spark)
     out = None
     block: list = []
 

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 #: Vectors of one parsed batch.
 BATCH = 10_000
 _VECTORS = "vec_id long, embedding array<float>"
@@ -87,6 +89,7 @@ def _read(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[pa.R
             for content in batch.column(0):
                 yield from parse(content.as_py())
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, kind)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import search
+from ..shipping import ship
 
 
 def ingest_stream(stream: DataFrame, centroids: DataFrame, dim: int, target: str, checkpoint: str) -> StreamingQuery:
@@ -60,6 +61,7 @@ def running_centroids(stream: DataFrame) -> DataFrame:
         state.update((total.tolist(), n))
         yield pd.DataFrame({"bucket_id": [key[0]], "centroid": [(total / n).tolist()], "n": [n]})
 
+    ship(stream.sparkSession)
     return stream.groupBy("bucket_id").applyInPandasWithState(
         update, "bucket_id long, centroid array<double>, n long", "sums array<double>, n long", "update", GroupStateTimeout.NoTimeout
     )
