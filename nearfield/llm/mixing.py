@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ranked
+from .common import cut, ranked, small_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that the dynamic program spends at most; it is exact below.
@@ -121,6 +121,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     whole passes. A rerun picks the same documents; rows that agree in doc_id, source and size
     are alike, whichever is picked. Empty tables give no rows. Only doc_id, source and text are read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("source").cast("string"), size_of(F.col("text").cast("string")).alias("size"))
     rows = cut(rows.withColumn("hash", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("row", F.monotonically_increasing_id()), "sizes")
     lengths = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
