@@ -55,7 +55,7 @@ def signature(hashes: np.ndarray, depth: int) -> np.ndarray:
     rows = low.reshape(TREES, depth).astype(np.uint64)
     node = mix(np.arange(1, TREES + 1, dtype=np.uint64))
     for i in range(depth):
-        node = mix(node ^ (rows[:, i] + np.uint64(i + 1) * np.uint64(0x9E3779B97F4A7C15)))
+        node = mix(node ^ (rows[:, i] + np.uint64((i + 1) << 32)))
     return node
 
 
