@@ -28,6 +28,8 @@ SLOTS = 1 << 18
 BEGIN = 4
 #: Strongest words of a text that are weighed one by one.
 TOP = 6
+#: Parts into which labelled documents fall while words are weighed.
+FOLDS = 5
 #: Part of a path's posterior that is added to the document's own evidence.
 TRUST = 0.5
 
@@ -72,22 +74,30 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return style, distinct(slots).astype(np.int64)
 
 
+def _weights(slots: list[np.ndarray], bad: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Log odds of slots among the documents `which`, 0 for those that tell little."""
+    counts = [np.zeros(SLOTS), np.zeros(SLOTS)]
+    for i in np.flatnonzero(which):
+        counts[int(bad[i])][slots[i]] += 1
+    rate = [(c + 0.5) / (max(1, (which & (bad == b)).sum()) + 1) for b, c in enumerate(counts)]
+    odds = np.log(rate[1] / rate[0])
+    spread = np.sqrt(1 / (counts[0] + 0.5) + 1 / (counts[1] + 0.5))
+    return np.where((counts[1] >= 3) & (odds > 2 * spread), odds, 0.0).astype(np.float32)
+
+
 class Model:
-    """One logistic model; `weights` are log odds of slots, 0 for those that tell little."""
+    """One logistic model over how a text is written and the weights of its words."""
 
     def __init__(self, style: list[np.ndarray], slots: list[np.ndarray], bad: np.ndarray):
-        half = np.arange(len(bad)) % 2 == 0  # words are weighed on one half, the rest is fitted on the other
-        counts = [np.zeros(SLOTS), np.zeros(SLOTS)]
-        for i in np.flatnonzero(half):
-            counts[int(bad[i])][slots[i]] += 1
-        n = [max(1.0, float((half & (bad == b)).sum())) for b in (0, 1)]
-        rate = [(c + 0.5) / (k + 1) for c, k in zip(counts, n, strict=True)]
-        odds = np.log(rate[1] / rate[0])
-        spread = np.sqrt(1 / (counts[0] + 0.5) + 1 / (counts[1] + 0.5))
-        self.weights = np.where((counts[1] >= 4) & (odds > 3 * spread), odds, 0.0).astype(np.float32)
-        x = np.stack([self.row(s, k) for s, k in zip(style, slots, strict=True)])
-        self.mean, self.scale = x[~half].mean(0), x[~half].std(0) + 1e-6
-        z, y = self._wide(x[~half]), bad[~half].astype(float)
+        fold = np.arange(len(bad)) % FOLDS
+        x = np.zeros((len(bad), len(style[0]) + TOP + 1))
+        for f in range(FOLDS):  # a document's words are weighed without itself
+            self.weights = _weights(slots, bad, fold != f)
+            for i in np.flatnonzero(fold == f):
+                x[i] = self.row(style[i], slots[i])
+        self.weights = _weights(slots, bad, fold >= 0)
+        self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
+        z, y = self._wide(x), bad.astype(float)
         self.beta = np.zeros(z.shape[1])
         ridge = np.full(z.shape[1], 1.0)
         ridge[0] = 1e-6
