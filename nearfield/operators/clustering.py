@@ -30,10 +30,25 @@ def centroids(vectors: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def assign(vectors: DataFrame, seeds: DataFrame, dim: int) -> DataFrame:
-    """vec_id, bucket_id: the nearest of few seeds (bucket_id, centroid), ties to the smaller bucket_id."""
-    far = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(seeds.select("bucket_id", "centroid")))
-    nearest = F.min_by("bucket_id", F.struct(V.l2_squared(F.col("embedding"), F.col("centroid"), dim), "bucket_id"))
-    return far.groupBy("vec_id").agg(nearest.alias("bucket_id"))
+    """vec_id, bucket_id: the nearest of k seeds (bucket_id, centroid), ties to the smaller bucket_id.
+
+    Seeds are broadcast, k being a parameter; rows stay in their tasks.
+    """
+    spark = vectors.sparkSession
+    ship(spark)
+    rows = seeds.select("bucket_id", "centroid").orderBy("bucket_id").toArrow()
+    held = spark.sparkContext.broadcast((rows["bucket_id"].to_numpy(), _matrix(rows["centroid"], dim)[0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, c = held.value
+        for batch in batches:
+            x, at = _matrix(batch.column(1), dim)
+            own = np.empty(len(x), np.int64)
+            for i in range(0, len(x), 256):
+                own[i : i + 256] = ((x[i : i + 256, None] - c[None]) ** 2).sum(2).argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(ids[own], pa.int64())], ["vec_id", "bucket_id"])
+
+    return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, bucket_id long")
 
 
 def _labelled(held):

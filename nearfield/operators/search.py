@@ -14,6 +14,8 @@ from ..shipping import ship
 
 #: Queries that one pass over the vectors serves; more are taken in blocks of this size.
 QUERY_BLOCK = 2048
+#: Buckets whose centroids are broadcast at most.
+BUCKETS = 500_000
 
 
 def dimension(vectors: DataFrame, column: str = "embedding") -> int:
@@ -117,6 +119,52 @@ def route(queries: DataFrame, centroids: DataFrame, probes: int, dim: int) -> Da
     return far.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= probes)
 
 
+def _routed(held):
+    """The nearest bucket of each row of a batch, found without leaving the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, codes, squares, lo, hi, pad = held.value
+        inverse = np.where(squares > 0, 1 / np.sqrt(np.maximum(squares, 1)), 0.0)
+        for batch in batches:
+            x, at = _matrix(batch.column(1), codes.shape[1])
+            span = hi - lo
+            own = np.empty(len(x), np.int64)
+            for start in range(0, len(x), 1024):
+                part = x[start : start + 1024]
+                if 1.1920929e-07 <= span < np.inf:
+                    code = np.floor(np.clip((np.where(np.isnan(part), lo, part) - lo) * (255.0 / span), 0, 255))
+                else:
+                    code = np.zeros_like(part)
+                code -= 128
+                square = (code * code).sum(1) + pad
+                a = np.where(square > 0, 1 / np.sqrt(np.maximum(square, 1)), 0.0)[:, None]
+                far = 1 - (code @ codes.T + pad) * a * inverse[None, :]
+                own[start : start + 1024] = np.where((a == 0) | (inverse[None, :] == 0), 1.0, far).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(buckets[own], pa.int64())], ["vec_id", "bucket_id"])
+
+    return run
+
+
+def route_all(vectors: DataFrame, centroids: DataFrame, dim: int) -> DataFrame:
+    """vec_id, bucket_id: the bucket to which each vector is nearest, as route() with one probe has it.
+
+    For many vectors: nothing is shuffled. Centroids are broadcast, as many as there are
+    buckets; beyond BUCKETS of them route() is taken instead. Vectors of another dimension
+    get no row.
+    """
+    spark = vectors.sparkSession
+    ship(spark)
+    coded = coded_centroids(centroids, dim).select("bucket_id", "code", "square", "lo", "hi").orderBy("bucket_id").limit(BUCKETS + 1).toArrow()
+    if coded.num_rows > BUCKETS:
+        own = route(vectors.select(F.col("vec_id").alias("qid"), "embedding"), centroids, 1, dim)
+        return own.select(F.col("qid").alias("vec_id"), "bucket_id")
+    if not coded.num_rows:
+        return spark.createDataFrame([], "vec_id long, bucket_id long")
+    codes, _ = _matrix(coded["code"], dim)
+    held = (coded["bucket_id"].to_numpy(), codes, coded["square"].to_numpy().astype(np.float64), coded["lo"][0].as_py(), coded["hi"][0].as_py(), float(V.padding(dim)))
+    return vectors.select("vec_id", "embedding").mapInArrow(_routed(spark.sparkContext.broadcast(held)), "vec_id long, bucket_id long")
+
+
 def knn_probed(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, probes: int, dim: int) -> DataFrame:
     """Two-tier search: the nearest `probes` buckets of each query, scanned exactly.
 

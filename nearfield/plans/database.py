@@ -176,8 +176,7 @@ class VectorEngine:
     def _placed(self, rows: DataFrame, dim: int) -> DataFrame:
         if not self._state["centroids"]:
             return rows.withColumn("bucket_id", F.coalesce("hint", F.lit(0).cast("long"))).drop("hint")
-        own = search.route(rows.where("hint is null").select(F.col("vec_id").alias("qid"), "embedding"), self.centroids(), 1, dim)
-        own = own.select(F.col("qid").alias("vec_id"), "bucket_id")
+        own = search.route_all(rows.where("hint is null"), self.centroids(), dim)
         return rows.join(own, "vec_id", "left").withColumn("bucket_id", F.coalesce("hint", "bucket_id")).drop("hint")
 
     def delete(self, ids: list[int] | int | DataFrame) -> None:

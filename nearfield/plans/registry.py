@@ -143,8 +143,7 @@ def route_top3(spark, sf_dir):
 )
 def route_ingest_top1(spark, sf_dir):
     rows = table(spark, sf_dir)
-    every = rows.select(F.col("vec_id").alias("qid"), "embedding")
-    return search.route(every, clustering.centroids(rows), 1, DIM).groupBy("bucket_id").agg(F.count("*").alias("n"))
+    return search.route_all(rows, clustering.centroids(rows), DIM).groupBy("bucket_id").agg(F.count("*").alias("n"))
 
 
 @query(

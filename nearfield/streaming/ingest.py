@@ -29,7 +29,7 @@ def ingest_stream(stream: DataFrame, centroids: DataFrame, dim: int, target: str
         stored = stored_vectors(spark, target, batch_id)
         if stored is not None:
             first = first.join(stored.select("vec_id"), "vec_id", "left_anti")
-        own = search.route(first.select(F.col("vec_id").alias("qid"), "embedding"), centroids, 1, dim).select(F.col("qid").alias("vec_id"), "bucket_id")
+        own = search.route_all(first, centroids, dim)
         first.join(own, "vec_id").select("vec_id", "embedding", "bucket_id").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
