@@ -16,6 +16,8 @@ from ..shipping import ship
 QUERY_BLOCK = 2048
 #: Buckets whose centroids are broadcast at most.
 BUCKETS = 500_000
+#: Probed buckets that are listed in a filter, so that other partitions aren't read.
+LISTED = 1000
 
 
 def dimension(vectors: DataFrame, column: str = "embedding") -> int:
@@ -32,35 +34,72 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim), at
 
 
+def _best(own: np.ndarray, far: np.ndarray, ids: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of those kept so far and of a batch; ties go to the smaller id."""
+    if len(row) > k:
+        take = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
+        ids, row = ids[take], row[take]
+    own, far = np.concatenate([own, ids]), np.concatenate([far, row])
+    order = np.lexsort((own, far))[:k]
+    return own[order], far[order]
+
+
+def _l2_rows(x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact distances of the rows that can be among the k nearest of q."""
+    d = (x * x).sum(1) - 2 * (x @ q)
+    take = np.arange(len(d))
+    if len(d) > k:  # keep rows within rounding of the k-th
+        edge = np.partition(d, k - 1)[k - 1]
+        take = np.flatnonzero(d <= edge + 1e-9 * (1 + abs(edge)))
+    return take, np.sqrt(((x[take] - q) ** 2).sum(axis=1))
+
+
 def _partial(held, k: int):
-    """The k nearest rows of each batch per query, so that a task's output doesn't grow with its input."""
+    """The k nearest rows of each task per query, so that its output doesn't grow with its input.
+
+    held: query ids, query vectors and, for a probed search, the queries that probe each bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = held.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(qids)
+        qids, q, probing = held.value
+        best = [(np.empty(0, np.int64), np.empty(0))] * len(qids)
         for batch in batches:
             x, at = _matrix(batch.column(1), q.shape[1])
             ids = batch.column(0).to_numpy()[at]
-            for start in range(0, len(qids), 64):
-                d = ((x * x).sum(1)[None, :] - 2 * (q[start : start + 64] @ x.T)) if len(x) else np.empty((64, 0))
-                for i in range(min(64, len(qids) - start)):
-                    row = d[i]
-                    if len(row) > k:  # keep rows within rounding of the k-th
-                        edge = np.partition(row, k - 1)[k - 1]
-                        take = np.flatnonzero(row <= edge + 1e-9 * (1 + abs(edge)))
-                    else:
-                        take = np.arange(len(row))
-                    exact = np.sqrt(((x[take] - q[start + i]) ** 2).sum(axis=1))
-                    own, far = best[start + i]
-                    own, far = np.concatenate([own, ids[take]]), np.concatenate([far, exact])
-                    order = np.lexsort((own, far))[:k]
-                    best[start + i] = own[order], far[order]
+            if probing is None:
+                groups = [(x, ids, range(len(qids)))]
+            else:
+                buckets = batch.column(2).to_numpy()[at]
+                groups = [(x[buckets == b], ids[buckets == b], probing.get(int(b), ())) for b in np.unique(buckets)]
+            for rows, names, asking in groups:
+                for i in asking:
+                    take, far = _l2_rows(rows, q[i], k)
+                    best[i] = _best(*best[i], names[take], far, k)
         for qid, (own, far) in zip(qids.tolist(), best, strict=True):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), qid), pa.int64()), pa.array(own, pa.int64()), pa.array(far, pa.float64())], ["qid", "vec_id", "distance"])
 
     return run
 
 
+def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of queries (qid, embedding), QUERY_BLOCK at a time."""
+    block: list = []
+    for row in queries.select(F.col("qid").cast("long"), "embedding").toLocalIterator():
+        block.append(row)
+        if len(block) == QUERY_BLOCK:
+            yield np.array([r["qid"] for r in block], np.int64), np.array([r["embedding"] for r in block], np.float64)
+            block = []
+    if block:
+        yield np.array([r["qid"] for r in block], np.int64), np.array([r["embedding"] for r in block], np.float64)
+
+
+def _union(frames: list[DataFrame], spark, kind: str) -> DataFrame:
+    out = spark.createDataFrame([], kind) if not frames else frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def _ranked(candidates: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy("distance", "vec_id")
     return candidates.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
@@ -75,23 +114,10 @@ def knn_exact(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     spark = vectors.sparkSession
     ship(spark)
-    out = None
-    block: list = []
-
-    def search(rows: list) -> DataFrame:
-        held = spark.sparkContext.broadcast((np.array([r["qid"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64)))
-        return vectors.select("vec_id", "embedding").mapInArrow(_partial(held, k), "qid long, vec_id long, distance double")
-
-    for row in queries.select(F.col("qid").cast("long"), "embedding").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out = search(block) if out is None else out.unionByName(search(block))
-            block = []
-    if block:
-        out = search(block) if out is None else out.unionByName(search(block))
-    if out is None:
-        out = spark.createDataFrame([], "qid long, vec_id long, distance double")
-    return _ranked(out, k).select("qid", "rank", "vec_id", "distance")
+    kind = "qid long, vec_id long, distance double"
+    rows = vectors.select("vec_id", "embedding")
+    found = [rows.mapInArrow(_partial(spark.sparkContext.broadcast((ids, q, None)), k), kind) for ids, q in query_blocks(queries)]
+    return _ranked(_union(found, spark, kind), k).select("qid", "rank", "vec_id", "distance")
 
 
 def coded_centroids(centroids: DataFrame, dim: int) -> DataFrame:
@@ -104,42 +130,70 @@ def coded_centroids(centroids: DataFrame, dim: int) -> DataFrame:
     return rows.withColumn("square", V.code_dot(F.col("code"), F.col("code"), dim))
 
 
+def _codes(x: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """Centred codes of vectors, as V.quantise and V.centre make them."""
+    span = hi - lo
+    if not 1.1920929e-07 <= span < np.inf:
+        return np.full_like(x, -128.0)
+    return np.floor(np.clip((np.where(np.isnan(x), lo, x) - lo) * (255.0 / span), 0, 255)) - 128
+
+
+def _routing(a: np.ndarray, b: np.ndarray, pad: float) -> np.ndarray:
+    """Routing distances of each row of codes a to each of b."""
+    inverse = lambda c: np.where((s := (c * c).sum(1) + pad) > 0, 1 / np.sqrt(np.maximum(s, 1)), 0.0)
+    u, v = inverse(a)[:, None], inverse(b)[None, :]
+    return np.where((u == 0) | (v == 0), 1.0, 1 - (a @ b.T + pad) * u * v)
+
+
+def _nearest_buckets(held, probes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, codes, lo, hi, pad = held.value
+        best = [(np.empty(0, np.int64), np.empty(0))] * len(qids)
+        for batch in batches:
+            x, at = _matrix(batch.column(1), codes.shape[1])
+            ids, own = batch.column(0).to_numpy()[at], _codes(x, lo, hi)
+            for start in range(0, len(qids), 64):
+                for i, row in enumerate(_routing(codes[start : start + 64], own, pad), start):
+                    best[i] = _best(*best[i], ids, row, probes)
+        for qid, (own, far) in zip(qids.tolist(), best, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), qid), pa.int64()), pa.array(own, pa.int64()), pa.array(far, pa.float64())], ["qid", "bucket_id", "distance"])
+
+    return run
+
+
+def bounds_of(centroids: DataFrame) -> tuple[float, float]:
+    row = V.bounds(centroids, "centroid").first()
+    return (0.0, 1.0) if row["lo"] is None else (row["lo"], row["hi"])
+
+
 def route(queries: DataFrame, centroids: DataFrame, probes: int, dim: int) -> DataFrame:
     """qid, bucket_id, distance, rank of each query's nearest buckets by cosine of centred codes.
 
-    Centroids are as many as buckets; the planner broadcasts them if they are small.
+    Queries are broadcast in blocks; each task over the centroids keeps `probes` rows per query.
     """
-    coded = coded_centroids(centroids, dim).select("bucket_id", "code", "square", "lo", "hi")
-    ends = coded.select("lo", "hi").limit(1)
-    q = queries.select("qid", "embedding").crossJoin(F.broadcast(ends)).select("qid", V.centre(V.quantise(F.col("embedding"), F.col("lo"), F.col("hi"))).alias("q"))
-    q = q.withColumn("q_square", V.code_dot(F.col("q"), F.col("q"), dim))
-    pairs = q.crossJoin(coded.select("bucket_id", "code", "square"))
-    far = pairs.select("qid", "bucket_id", V.routing_distance(V.code_dot(F.col("q"), F.col("code"), dim), F.col("q_square"), F.col("square")).alias("distance"))
+    spark = queries.sparkSession
+    ship(spark)
+    lo, hi = bounds_of(centroids)
+    kind = "qid long, bucket_id long, distance double"
+    rows = centroids.select(F.col("bucket_id").cast("long"), "centroid")
+    found = []
+    for ids, q in query_blocks(queries.where(F.size("embedding") == dim)):
+        held = spark.sparkContext.broadcast((ids, _codes(q, lo, hi), lo, hi, float(V.padding(dim))))
+        found.append(rows.mapInArrow(_nearest_buckets(held, probes), kind))
     order = Window.partitionBy("qid").orderBy("distance", "bucket_id")
-    return far.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= probes)
+    return _union(found, spark, kind).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= probes)
 
 
 def _routed(held):
     """The nearest bucket of each row of a batch, found without leaving the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, codes, squares, lo, hi, pad = held.value
-        inverse = np.where(squares > 0, 1 / np.sqrt(np.maximum(squares, 1)), 0.0)
+        buckets, codes, lo, hi, pad = held.value
         for batch in batches:
             x, at = _matrix(batch.column(1), codes.shape[1])
-            span = hi - lo
             own = np.empty(len(x), np.int64)
             for start in range(0, len(x), 1024):
-                part = x[start : start + 1024]
-                if 1.1920929e-07 <= span < np.inf:
-                    code = np.floor(np.clip((np.where(np.isnan(part), lo, part) - lo) * (255.0 / span), 0, 255))
-                else:
-                    code = np.zeros_like(part)
-                code -= 128
-                square = (code * code).sum(1) + pad
-                a = np.where(square > 0, 1 / np.sqrt(np.maximum(square, 1)), 0.0)[:, None]
-                far = 1 - (code @ codes.T + pad) * a * inverse[None, :]
-                own[start : start + 1024] = np.where((a == 0) | (inverse[None, :] == 0), 1.0, far).argmin(axis=1)
+                own[start : start + 1024] = _routing(_codes(x[start : start + 1024], lo, hi), codes, pad).argmin(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(buckets[own], pa.int64())], ["vec_id", "bucket_id"])
 
     return run
@@ -154,15 +208,16 @@ def route_all(vectors: DataFrame, centroids: DataFrame, dim: int) -> DataFrame:
     """
     spark = vectors.sparkSession
     ship(spark)
-    coded = coded_centroids(centroids, dim).select("bucket_id", "code", "square", "lo", "hi").orderBy("bucket_id").limit(BUCKETS + 1).toArrow()
-    if coded.num_rows > BUCKETS:
+    rows = centroids.select("bucket_id", "centroid").orderBy("bucket_id").limit(BUCKETS + 1).toArrow()
+    if rows.num_rows > BUCKETS:
         own = route(vectors.select(F.col("vec_id").alias("qid"), "embedding"), centroids, 1, dim)
         return own.select(F.col("qid").alias("vec_id"), "bucket_id")
-    if not coded.num_rows:
+    if not rows.num_rows:
         return spark.createDataFrame([], "vec_id long, bucket_id long")
-    codes, _ = _matrix(coded["code"], dim)
-    held = (coded["bucket_id"].to_numpy(), codes, coded["square"].to_numpy().astype(np.float64), coded["lo"][0].as_py(), coded["hi"][0].as_py(), float(V.padding(dim)))
-    return vectors.select("vec_id", "embedding").mapInArrow(_routed(spark.sparkContext.broadcast(held)), "vec_id long, bucket_id long")
+    lo, hi = bounds_of(centroids)
+    x, at = _matrix(rows["centroid"], dim)
+    held = spark.sparkContext.broadcast((rows["bucket_id"].to_numpy()[at], _codes(x, lo, hi), lo, hi, float(V.padding(dim))))
+    return vectors.select("vec_id", "embedding").mapInArrow(_routed(held), "vec_id long, bucket_id long")
 
 
 def knn_probed(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, probes: int, dim: int) -> DataFrame:
@@ -170,10 +225,21 @@ def knn_probed(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k:
 
     `vectors` has bucket_id; stored partitioned by it, only probed buckets are read.
     """
-    probed = route(queries, centroids, probes, dim).select("qid", "bucket_id").join(queries.select("qid", F.col("embedding").alias("q")), "qid")
-    pairs = vectors.join(probed, "bucket_id").where(F.size("embedding") == F.size("q"))
-    far = pairs.select("qid", "vec_id", V.l2(F.col("embedding"), F.col("q"), dim).alias("distance"))
-    return _ranked(far, k).select("qid", "rank", "vec_id", "distance")
+    spark = vectors.sparkSession
+    ship(spark)
+    kind = "qid long, vec_id long, distance double"
+    rows = vectors.select("vec_id", "embedding", F.col("bucket_id").cast("long").alias("bucket_id"))
+    found = []
+    for ids, q in query_blocks(queries):
+        block = spark.createDataFrame(pa.table({"qid": ids, "embedding": list(q)}))
+        near = route(block, centroids, probes, dim).select("qid", "bucket_id").toArrow()  # QUERY_BLOCK * probes rows
+        place = {qid: i for i, qid in enumerate(ids.tolist())}
+        probing: dict[int, list[int]] = {}
+        for qid, bucket in zip(near["qid"].to_pylist(), near["bucket_id"].to_pylist(), strict=True):
+            probing.setdefault(bucket, []).append(place[qid])
+        part = rows.where(F.col("bucket_id").isin(sorted(probing))) if len(probing) <= LISTED else rows
+        found.append(part.mapInArrow(_partial(spark.sparkContext.broadcast((ids, q, probing)), k), kind))
+    return _ranked(_union(found, spark, kind), k).select("qid", "rank", "vec_id", "distance")
 
 
 def with_vectors(results: DataFrame, vectors: DataFrame) -> DataFrame:

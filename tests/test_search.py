@@ -12,8 +12,7 @@ CENT = "bucket_id long, centroid array<double>"
 def test_routing_of_a_line_of_centroids(spark, monkeypatch):
     centroids = spark.createDataFrame([(i, [float(i), i / 2]) for i in range(50)], CENT)
     q = spark.createDataFrame([(0, [5.2, 2.6])], "qid long, embedding array<double>")
-    fixed = spark.createDataFrame([(0.0, 10.0)], "lo double, hi double")
-    monkeypatch.setattr(search.V, "bounds", lambda *_: fixed)
+    monkeypatch.setattr(search, "bounds_of", lambda _: (0.0, 10.0))
     got = search.route(q, centroids, 4, 2).orderBy("rank").collect()
     assert [r["bucket_id"] for r in got] == [5, 6, 4, 7]
 
