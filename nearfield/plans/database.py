@@ -25,6 +25,7 @@ class Options:
     path: str
     shards: int = 4
     virtual_nodes: int = 8
+    rebuild_every: int = 1  # inserted vectors after which centroids are made anew; until then routing is stale
 
     def __post_init__(self):
         if self.shards <= 0:
@@ -49,7 +50,7 @@ class VectorEngine:
     def _load(self) -> dict:
         pointer = self._fs_path(f"{self.options.path}/CURRENT")
         if not self._fs.exists(pointer):
-            return {"version": 0, "seq": 0, "log": [], "centroids": [], "meta": [], "inserted": 0, "next_bucket": 0, "dim": 0}
+            return {"version": 0, "seq": 0, "log": [], "centroids": [], "meta": [], "inserted": 0, "pending": 0, "dim": 0}
         stream = self._fs.open(pointer)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -142,7 +143,7 @@ class VectorEngine:
 
     def stats(self) -> dict:
         row = self.vectors().agg(F.countDistinct("bucket_id").alias("buckets"), F.count("*").alias("vectors")).first()
-        return {"ready": bool(self._state["centroids"]), "buckets": row["buckets"], "vectors": row["vectors"], "inserted_total": self._state["inserted"]}
+        return {"ready": bool(self._state["centroids"]), "buckets": row["buckets"], "vectors": row["vectors"], "inserted_total": self._state["inserted"], "pending_updates": self._state["pending"]}
 
     # -- writing ---------------------------------------------------------------------------
 
@@ -169,8 +170,9 @@ class VectorEngine:
             raise ValueError(f"id {clash['vec_id']} already exists")
         placed = self._placed(rows, dim)
         path = self._write(placed.select(F.lit(self._state["seq"] + 1).cast("long").alias("seq"), F.lit("I").alias("op"), "vec_id", "embedding", "bucket_id"), "log")
-        self._commit(log=[*self._state["log"], path], seq=self._state["seq"] + 1, inserted=self._state["inserted"] + seen["n"], dim=dim)
-        self.flush()
+        self._commit(log=[*self._state["log"], path], seq=self._state["seq"] + 1, inserted=self._state["inserted"] + seen["n"], pending=self._state["pending"] + seen["n"], dim=dim)
+        if not self._state["centroids"] or bucket_col or self._state["pending"] >= self.options.rebuild_every:
+            self.flush()
         return seen["n"]
 
     def _placed(self, rows: DataFrame, dim: int) -> DataFrame:
@@ -192,7 +194,7 @@ class VectorEngine:
     def flush(self) -> None:
         """Write a new version of the centroids from what is stored."""
         path = self._write(clustering.centroids(self.vectors()).select("bucket_id", "centroid", "n"), "centroids")
-        self._commit(centroids=[path])
+        self._commit(centroids=[path], pending=0)
 
     def install_snapshot(self, centroids: DataFrame) -> None:
         """Replace all centroids (bucket_id, centroid, n)."""

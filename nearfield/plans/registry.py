@@ -460,6 +460,13 @@ def namespace_names(spark, sf_dir):
     return rows.select("source", naming.namespace_column(F.concat("source", F.lit(" / "), "lang", F.lit(".v1"))).alias("name"))
 
 
+@query("sample_by_hash_order", "SELECT count(*) AS n, count(DISTINCT vec_id) AS ids FROM (SELECT vec_id FROM e ORDER BY hash(vec_id) LIMIT 40) t")
+def sample_by_hash_order(spark, sf_dir):
+    from ..functions.sampling import sample_rows
+
+    return sample_rows(table(spark, sf_dir).select("vec_id"), 40, 5, "vec_id").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"))
+
+
 # -- procedures: rows only --------------------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ def test_lifecycle(spark, tmp_path):
     db = VectorEngine.open(spark, "my db", root)
     with pytest.raises(RuntimeError, match="not initialized"):
         db.query([1.0, 0.0, 0.0], 1)
-    assert db.stats() == {"ready": False, "buckets": 0, "vectors": 0, "inserted_total": 0}
+    assert db.stats() == {"ready": False, "buckets": 0, "vectors": 0, "inserted_total": 0, "pending_updates": 0}
     db.insert(spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0])], VEC))
     assert ids(db.query([1.0, 0.1, 0.1], 1)) == [1]
     for rows, text in (([(1, [0.0, 0.0, 0.0])], "already exists"), ([(7, [1.0, 1.0, 1.0]), (7, [1.0, 1.0, 2.0])], "already exists"), ([(8, [1.0])], "dimension"), ([(-1, [1.0, 1.0, 1.0])], "ids")):
@@ -31,13 +31,25 @@ def test_lifecycle(spark, tmp_path):
     assert ids(db.get([2])) == [] and ids(db.query([0.0, 1.0, 0.0], 3)) == [1, 3]
     db.insert(2, [0.0, 0.5, 0.0])
     again = VectorEngine.open(spark, "my db", root)
-    assert again.stats() == {"ready": True, "buckets": 1, "vectors": 3, "inserted_total": 4}
+    assert again.stats() == {"ready": True, "buckets": 1, "vectors": 3, "inserted_total": 4, "pending_updates": 0}
     assert ids(again.query([0.0, 1.0, 0.0], 1)) == [2]
     again.insert(4, [1.0, 1.0, 0.0])
     with pytest.raises(RuntimeError, match="another writer"):
         db.insert(5, [1.0, 1.0, 0.0])
 
 
+def test_rebuild_policy(spark, tmp_path):
+    db = VectorEngine.open(spark, "y", str(tmp_path), rebuild_every=3)
+    db.insert(1, [0.0, 0.0])
+    db.insert(2, [10.0, 10.0])
+    assert db.stats()["pending_updates"] == 1 and db.centroids().first()["n"] == 1
+    assert ids(db.query([9.0, 9.0], 1)) == [2]
+    db.insert(spark.createDataFrame([(3, [1.0, 1.0]), (4, [2.0, 2.0])], VEC))
+    assert db.stats()["pending_updates"] == 0 and db.centroids().first()["n"] == 4
+    db.insert(spark.createDataFrame([(5, [3.0, 3.0], 7)], VEC + ", home long"), bucket_col="home")
+    assert db.stats()["buckets"] == 2 and db.resolve_buckets([5]).first()["bucket_id"] == 7
+
+
 def test_rebalance_and_vacuum(spark, tmp_path):
     db = VectorEngine.open(spark, "x", str(tmp_path))
     rows = [(i, [0.01 * i, 0.0]) for i in range(4)] + [(100 + i, [100.0 + i, 100.0]) for i in range(4)]
