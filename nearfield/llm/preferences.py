@@ -37,14 +37,14 @@ def _mask(turns: Column, role: str) -> Column:
     return F.array_join(F.aggregate(turns, start, step)["out"], ",")
 
 
+def _turn() -> Column:
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return F.struct(F.col("turn").cast("long").alias("turn"), text("role"), text("text")).alias("t")
+
+
 def turns_of(conversations: DataFrame) -> DataFrame:
     """conv_id and its turns, ordered by turn; null texts and roles are empty, repeated turns stay."""
-    turn = F.struct(
-        F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    return conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    return conversations.select("conv_id", _turn()).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
 
 def format_preferences(pairs: DataFrame, trained: str = "assistant") -> DataFrame:
@@ -82,7 +82,7 @@ def swapped_replies(conversations: DataFrame, trained: str = "assistant") -> Dat
     """
     own = turns_of(conversations)
     last = F.element_at("turns", -1)
-    answers = conversations.where(F.col("role") == trained).select(F.col("conv_id").bitwiseXOR(1).alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
+    answers = conversations.where(F.col("role") == trained).select(F.col("conv_id").bitwiseXOR(1).alias("conv_id"), _turn())
     reply = answers.groupBy("conv_id").agg(F.max("t").alias("reply"))
     closes = F.coalesce(last["role"] == trained, F.lit(False))
     kept = F.when(closes, F.slice("turns", F.lit(1), F.size("turns") - 1)).otherwise(F.col("turns"))
