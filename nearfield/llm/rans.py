@@ -50,32 +50,53 @@ class Table:
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
 
 
-def encode(ids: np.ndarray, table: Table, lanes: int = 0) -> dict:
-    """A block: lanes, n, words (bytes), states and places of its checkpoints, crc32 of all three."""
-    n = len(ids)
-    lanes = lanes or max(1, min(LANES, n // CHECKPOINT))
-    freq, below, bits = table.freq[ids], table.below[ids], np.uint64(table.bits)
-    if n and not freq.all():
-        raise ValueError("a token has no frequency")
-    top = np.uint64(63 - table.bits)
-    state, words, kept, written = np.full(lanes, _LOW, np.uint64), [], [], 0
-    for step in reversed(range(-(-n // lanes))):
-        at = slice(step * lanes, (step + 1) * lanes)
-        f, x = freq[at], state[: len(freq[at])]
-        full = x >= f << top
-        if full.any():
-            words.append(x[full].astype(np.uint32))  # the low 32 bits
-            written += len(words[-1])
-            x[full] >>= _WORD
+def encode(many: list[np.ndarray], table: Table) -> list[dict]:
+    """A block for each array of ids: lanes, n, words (bytes), states and places of its checkpoints, crc32.
+
+    Blocks of as many lanes are coded side by side. What pads them has the whole range as its
+    frequency, which leaves a state as it is.
+    """
+    lanes = [max(1, min(LANES, len(ids) // CHECKPOINT)) for ids in many]
+    out: list = [None] * len(many)
+    for k in set(lanes):
+        at = [i for i, m in enumerate(lanes) if m == k]
+        for i, block in zip(at, _side_by_side([many[i] for i in at], table, k), strict=True):
+            out[i] = block
+    return out
+
+
+def _side_by_side(many: list[np.ndarray], table: Table, lanes: int) -> list[dict]:
+    bits, top = np.uint64(table.bits), np.uint64(63 - table.bits)
+    steps = max(-(-len(ids) // lanes) for ids in many)
+    shape = (len(many), steps * lanes)
+    freq, below = np.full(shape, 1 << table.bits, np.uint64), np.zeros(shape, np.uint64)
+    for i, ids in enumerate(many):
+        freq[i, : len(ids)], below[i, : len(ids)] = table.freq[ids], table.below[ids]
+        if len(ids) and not freq[i].all():
+            raise ValueError("a token has no frequency")
+    by_step = lambda x: np.ascontiguousarray(x.reshape(len(many), steps, lanes).transpose(1, 0, 2))
+    freq, below = by_step(freq), by_step(below)
+    x = np.full((len(many), lanes), _LOW, np.uint64)
+    words, full = np.empty(freq.shape, np.uint32), np.empty(freq.shape, bool)
+    kept = {}
+    for step in reversed(range(steps)):
+        f = freq[step]
+        np.greater_equal(x, f << top, out=full[step])
+        words[step] = x  # the low 32 bits
+        x >>= full[step] * _WORD
         q = x // f
-        x[:] = (q << bits) + (x - q * f) + below[at]
+        x = (q << bits) + (x - q * f) + below[step]
         if step % CHECKPOINT == 0:
-            kept.append((written, state.copy()))
-    kept.reverse()
-    payload = np.concatenate(words[::-1]).astype("<u4").tobytes() if words else b""
-    states = b"".join(s.astype("<u8").tobytes() for _, s in kept)
-    places = np.array([written - w for w, _ in kept], "<u8").tobytes()
-    return {"lanes": lanes, "n": n, "words": payload, "states": states, "places": places, "crc32": _sum(payload, states, places)}
+            kept[step] = x.copy()
+    out = []
+    for i, ids in enumerate(many):
+        payload = words[:, i][full[:, i]].astype("<u4").tobytes()
+        marks = range(0, -(-len(ids) // lanes), CHECKPOINT)
+        upto = np.concatenate([[0], np.cumsum(full[:, i].sum(axis=1))])
+        states = b"".join(kept[m][i].astype("<u8").tobytes() for m in marks)
+        places = upto[list(marks)].astype("<u8").tobytes()
+        out.append({"lanes": lanes, "n": len(ids), "words": payload, "states": states, "places": places, "crc32": _sum(payload, states, places)})
+    return out
 
 
 def _sum(*parts: bytes) -> int:
@@ -85,43 +106,58 @@ def _sum(*parts: bytes) -> int:
     return crc
 
 
-def decode(block: dict, table: Table, segment: int | None = None) -> np.ndarray:
-    """The block's ids, or those of one of its segments of CHECKPOINT * lanes tokens."""
-    if _sum(block["words"], block["states"], block["places"]) != block["crc32"]:
-        raise ValueError("a block is damaged: its checksum differs")
-    lanes, n = block["lanes"], block["n"]
-    words = np.frombuffer(block["words"], "<u4").astype(np.uint64)
-    states = np.frombuffer(block["states"], "<u8").reshape(-1, lanes).astype(np.uint64)
-    places = np.frombuffer(block["places"], "<u8").astype(np.int64)
+def decode(many: list[dict], table: Table) -> list[np.ndarray]:
+    """The ids of each block; all segments of blocks of as many lanes are decoded side by side."""
+    out: list = [np.empty(0, np.uint32)] * len(many)
+    for k in {b["lanes"] for b in many}:
+        at = [i for i, b in enumerate(many) if b["lanes"] == k]
+        for i, ids in zip(at, _segments([(many[i], None) for i in at], table), strict=True):
+            out[i] = ids
+    return out
+
+
+def decode_segment(block: dict, segment: int, table: Table) -> np.ndarray:
+    """One stretch of CHECKPOINT * lanes ids, without what comes before it."""
+    return _segments([(block, segment)], table)[0]
+
+
+def _segments(many: list[tuple[dict, int | None]], table: Table) -> list[np.ndarray]:
+    lanes = many[0][0]["lanes"]
     size = CHECKPOINT * lanes
-    which = np.arange(len(places)) if segment is None else np.array([segment])
-    full = which[(which + 1) * size <= n]
-    out = []
-    if len(full):
-        out.append(_run(words, states[full].copy(), places[full].copy(), CHECKPOINT, lanes, table).reshape(-1))
-    for s in which[len(full) :]:
-        left = n - s * size
-        steps = left // lanes
-        x, place = states[s : s + 1].copy(), places[s : s + 1].copy()
-        out.append(_run(words, x, place, steps, lanes, table).reshape(-1))
-        if left % lanes:
-            out.append(_run(words, x[:, : left % lanes].copy(), place, 1, left % lanes, table).reshape(-1))
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
-
-
-def _run(words, x, place, steps, lanes, table):
-    """Decode `steps` steps of each row of states at once; x and place move on in place."""
-    out = np.empty((len(x), steps, lanes), np.uint32)
+    words, states, places, left, owner, base = [], [], [], [], [], 0
+    for i, (block, segment) in enumerate(many):
+        if _sum(block["words"], block["states"], block["places"]) != block["crc32"]:
+            raise ValueError("a block is damaged: its checksum differs")
+        own = np.frombuffer(block["words"], "<u4")
+        place = np.frombuffer(block["places"], "<u8").astype(np.int64)
+        which = np.arange(len(place)) if segment is None else np.array([segment])
+        words.append(own)
+        states.append(np.frombuffer(block["states"], "<u8").reshape(-1, lanes)[which])
+        places.append(place[which] + base)
+        left.append(np.minimum(size, block["n"] - which * size))
+        owner += [i] * len(which)
+        base += len(own)
+    if not owner:
+        return [np.empty(0, np.uint32) for _ in many]
+    stream = np.concatenate([*words, [0]]).astype(np.uint64)
+    x, place, left = np.concatenate(states).astype(np.uint64), np.concatenate(places), np.concatenate(left)
+    out = np.empty((len(x), CHECKPOINT, lanes), np.uint32)
     bits, slots = np.uint64(table.bits), np.uint64((1 << table.bits) - 1)
-    for t in range(steps):
+    lane = np.arange(lanes)
+    short = bool((left < size).any())
+    for t in range(int(-(-left.max() // lanes))):
         slot = x & slots
         s = table.symbol[slot.astype(np.int64)]
         out[:, t] = s
-        x[:] = table.freq[s] * (x >> bits) + slot - table.below[s]
-        low = x < _LOW
-        if low.any():
-            order = np.cumsum(low, axis=1)
-            take = (place[:, None] + order - 1)[low]
-            x[low] = (x[low] << _WORD) | words[take]
-            place += order[:, -1]
-    return out
+        y = table.freq[s] * (x >> bits) + slot - table.below[s]
+        if short:  # beyond a block's end states stay as they are
+            y = np.where(t * lanes + lane < left[:, None], y, x)
+        low = y < _LOW
+        order = np.cumsum(low, axis=1)
+        fresh = stream[np.minimum(place[:, None] + order - 1, base)]
+        x = np.where(low, (y << _WORD) | fresh, y)
+        place = place + order[:, -1]
+    done = [[] for _ in many]
+    for i, row, n in zip(owner, out.reshape(len(x), -1), left, strict=True):
+        done[i].append(row[:n])
+    return [np.concatenate(d) if d else np.empty(0, np.uint32) for d in done]

@@ -9,15 +9,17 @@ block decodes by itself.
 
 from __future__ import annotations
 
+import codecs
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import rans
 from .common import scratch, small_batches
@@ -25,20 +27,25 @@ from .common import scratch, small_batches
 #: Ids from which on a block is closed at the next document's end.
 BLOCK = 1 << 17
 #: Pieces whose ids a worker remembers, in each of two generations.
-MEMO = 200_000
+MEMO = 400_000
+#: Blocks that a worker codes side by side.
+ABREAST = 8
 #: Stretches of document ids for each shuffle partition.
 STRETCHES = 8
 
-#: Characters on which Python's classes and the tokenizer's agree; other texts go to the library whole.
-_PLAIN = re.compile("[\t\n\r\x20-~¡¿«»À-ÖØ-öø-ʯ‐-―‘-•…€Α-ΡΣ-ώА-я]*")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Letters of scripts whose texts take the quick way; other texts go to the library whole.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ʯΑ-ΡΣ-ώА-я"
+_PLAIN = re.compile(f"[\t\n\r\x20-~¡¿«»‐-―‘-•…€{_LETTERS}]*")
+#: The tokenizer's pre-tokens, as they are where no other characters occur.
+_PIECES = re.compile(rf" ?[{_LETTERS}]++|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]++| ?[^\s0-9{_LETTERS}]++|\s+(?!\S)|\s+")
 
 
-class Encoder(dict):
+class Encoder:
     """Ids of texts as bytes, with a memory of the pieces between which no merge reaches.
 
     A byte-level tokenizer without a normalizer merges within pre-tokens only, so that equal
-    pre-tokens always give equal ids. Each is put through the library once while remembered.
+    pre-tokens always give equal ids: each is put through the library's model once while
+    remembered, in one of two generations.
     """
 
     def __init__(self, spec: str):
@@ -47,37 +54,44 @@ class Encoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(spec)
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        import json
-
         parsed = json.loads(spec)
         pre = parsed.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not parsed.get("normalizer")
         self.added = [x["content"] for x in parsed.get("added_tokens", [])]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = iter(range(256, 512))
+        self.shown = "".join(chr(c if c in shown else next(other)) for c in range(256))
+        self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self._ids(piece)
-        if len(self) >= MEMO:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def _piece(self, piece: str) -> bytes:
+        mapped = codecs.charmap_decode(piece.encode(), "strict", self.shown)[0]
+        return array(self.kind.char, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _pieces(self, text: str) -> bytes:
+        pieces = _PIECES.findall(text)
+        newer, older = self.newer, self.older
+        out = list(map(newer.get, pieces))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    piece = pieces[i]
+                    ids = newer.get(piece) or older.get(piece) or self._piece(piece)
+                    newer[piece] = out[i] = ids
+            if len(newer) >= MEMO:
+                self.newer, self.older = {}, newer
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Null counts as empty."""
         if not text:
             return b""
         if not self.by_piece or any(x in text for x in self.added) or not _PLAIN.fullmatch(text):
-            return self._ids(text)
-        return b"".join(map(self.__getitem__, _PIECES.findall(text)))
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return self._pieces(text)
 
 
 _encoders: dict[int, Encoder] = {}
@@ -111,8 +125,7 @@ def _tally(kind, size):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_py(), kind), minlength=size)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
@@ -128,25 +141,34 @@ _BLOCK_ARROW = pa.schema(
 def _blocks(freq, kind, offsets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rans.Table(freq.value)
-        held, first, upto = [], 0, None
+        ready: list[tuple[int, list]] = []  # blocks not coded yet: their first id's place and documents
+        held: list[tuple[int | None, bytes]] = []
+        first, upto = 0, None
 
         def flush():
-            ids = np.frombuffer(b"".join(x for _, x in held), kind)
-            block = rans.encode(ids, table)
-            row = block | {"first": first, "doc_ids": [d for d, _ in held], "lengths": [len(x) // kind.itemsize for _, x in held]}
-            held.clear()
-            return pa.RecordBatch.from_pylist([row], schema=_BLOCK_ARROW)
+            coded = rans.encode([np.frombuffer(b"".join(x for _, x in docs), kind) for _, docs in ready], table)
+            rows = [
+                block | {"first": start, "doc_ids": [d for d, _ in docs], "lengths": [len(x) // kind.itemsize for _, x in docs]}
+                for (start, docs), block in zip(ready, coded, strict=True)
+            ]
+            ready.clear()
+            return pa.RecordBatch.from_pylist(rows, schema=_BLOCK_ARROW)
 
         for batch in batches:
-            for part, before, doc, ids in zip(*(batch.column(i) for i in range(4)), strict=True):
-                start, ids = offsets[part.as_py()] + before.as_py(), ids.as_py()
+            for part, before, doc, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                start = offsets[part] + before
                 if held and (start != upto or upto - first >= BLOCK):
-                    yield flush()
+                    ready.append((first, held))
+                    held = []
+                    if len(ready) == ABREAST:
+                        yield flush()
                 if not held:
                     first = start
-                held.append((doc.as_py(), ids))
+                held.append((doc, ids))
                 upto = start + len(ids) // kind.itemsize
         if held:
+            ready.append((first, held))
+        if ready:
             yield flush()
 
     return run
@@ -159,8 +181,6 @@ def write_tokens(docs: DataFrame, path: str, spec: str, end_id: int = 0) -> None
     their ids; a repeated row is written again. Null and empty texts are just end_id. An empty
     table gives files without blocks. Only doc_id and text are read.
     """
-    import json
-
     spark = docs.sparkSession
     small_batches(spark)
     sc = spark.sparkContext
@@ -197,24 +217,26 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _decoded(freq):
+def _decoded(freq, with_ids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rans.Table(freq.value)
         for batch in batches:
-            for block in batch.to_pylist():
-                ids = rans.decode(block, table).astype("<u4")
-                ends = np.cumsum(np.array(block["lengths"], np.int64))
-                starts = ends - np.array(block["lengths"], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(block["doc_ids"], pa.int64()),
-                        pa.array(starts + block["first"], pa.int64()),
-                        pa.array(ends - starts, pa.int64()),
-                        pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)], pa.int64()),
-                        pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                    ],
-                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+            for at in range(0, batch.num_rows, ABREAST):
+                blocks = batch.slice(at, ABREAST).to_pylist()
+                for block, ids in zip(blocks, rans.decode(blocks, table), strict=True):
+                    raw = ids.astype("<u4").tobytes()
+                    ends = np.cumsum(np.array(block["lengths"], np.int64))
+                    starts = ends - np.array(block["lengths"], np.int64)
+                    each = [raw[4 * a : 4 * z] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    columns = {
+                        "doc_id": pa.array(block["doc_ids"], pa.int64()),
+                        "start": pa.array(starts + block["first"], pa.int64()),
+                        "n_tokens": pa.array(ends - starts, pa.int64()),
+                        "ids_crc32": pa.array(list(map(zlib.crc32, each)), pa.int64()),
+                    }
+                    if with_ids:
+                        columns["ids"] = pa.array(each, pa.binary())
+                    yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -226,11 +248,8 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     freq = np.zeros(int(np.max(table["id"].to_numpy(), initial=-1)) + 1, np.int64)
     freq[table["id"].to_numpy()] = table["freq"].to_numpy()
     blocks = spark.read.schema(_BLOCK).parquet(f"{path}/blocks")
-    kind = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    run = _decoded(spark.sparkContext.broadcast(freq))
-    if ids:
-        return blocks.mapInArrow(run, kind + ", ids binary")
-    return blocks.mapInArrow(lambda batches: (b.select(range(4)) for b in run(batches)), kind)
+    kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids
+    return blocks.mapInArrow(_decoded(spark.sparkContext.broadcast(freq), ids), kind)
 
 
 def token_files(docs: DataFrame, spec: str, end_id: int = 0) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -20,7 +21,9 @@ TEXTS = [
 def test_encoder_equals_library():
     spec = tokenizer_json()
     tokenizer, encoder = Tokenizer.from_str(spec), Encoder(spec)
-    for text in TEXTS * 2:
+    rng = random.Random(4)
+    texts = TEXTS + ["".join(rng.choices(["a", "Bc", " ", "  ", "\n", ".", ",", "7", "'s", "é", " x", "\t"], k=12)) for _ in range(3000)]
+    for text in texts:
         ids = np.frombuffer(encoder.encode(text), encoder.kind).tolist()
         assert ids == tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
@@ -33,14 +36,17 @@ def test_round_trip(n):
     freq = rans.scale(counts)
     assert not n or freq.sum() == 1 << rans.BITS and ((freq > 0) == (counts > 0)).all()
     table = rans.Table(freq)
-    block = rans.encode(ids, table)
-    assert (rans.decode(block, table) == ids).all()
+    others = [ids[: n // 3], ids[5:], ids[:1]]
+    blocks = rans.encode([ids, *others], table)
+    for got, want in zip(rans.decode(blocks, table), [ids, *others], strict=True):
+        assert (got == want).all()
+    block = blocks[0]
     size = rans.CHECKPOINT * block["lanes"]
     for s in range(-(-n // size)):
-        assert (rans.decode(block, table, s) == ids[s * size : (s + 1) * size]).all()
+        assert (rans.decode_segment(block, s, table) == ids[s * size : (s + 1) * size]).all()
     if block["words"]:
         with pytest.raises(ValueError):
-            rans.decode(block | {"words": block["words"][:-1] + bytes([block["words"][-1] ^ 1])}, table)
+            rans.decode([block | {"words": block["words"][:-1] + bytes([block["words"][-1] ^ 1])}], table)
 
 
 def test_scale_of_many_rare():
