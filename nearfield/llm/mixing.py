@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUDGET = 1 << 16
 #: Bits of a hash digit, and digits after which the few documents left are ordered.
 DIGIT, DIGITS = 8, 3
+#: Parts into which the documents of one source and length are dealt to meet their length's plan.
+PARTS = 16
 
 
 def size_of(text: Column) -> Column:
@@ -124,7 +126,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("source").cast("string"), size_of(F.col("text").cast("string")).alias("size"))
     rows = cut(rows.withColumn("hash", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("row", F.monotonically_increasing_id()), "sizes")
-    lengths = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
+    digit = lambda i: F.shiftrightunsigned("hash", 64 - DIGIT * (i + 1)).bitwiseAND((1 << DIGIT) - 1)
+    tally = cut(rows.groupBy("source", "size", digit(0).alias("digit")).agg(F.count("*").alias("n")), "tally")
+    lengths = tally.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sources = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")), weights, most)
     same = lengths["source"].eqNullSafe(sources["source"])
     kind = "source string, size long, base long, quota long, source_size long, target double"
@@ -133,19 +137,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
 
     key = ["source", "size"]
     on = lambda a, b: a["source"].eqNullSafe(b["source"]) & (a["size"] == b["size"])
-    digit = lambda i: F.shiftrightunsigned("hash", 64 - DIGIT * (i + 1)).bitwiseAND((1 << DIGIT) - 1)
     # narrow down, one hash digit after another, where each length's quota ends
-    edge = quotas.select(*key, "quota", F.lit(0).cast("long").alias("cutoff"))
     held = rows.select("row", "doc_id", "hash", *key)
+    e = quotas.where("quota > 0").select(*key, "quota", F.lit(0).cast("long").alias("cutoff"))
+    counts = tally.join(e, on(tally, e)).select(tally["source"], tally["size"], "quota", "cutoff", "digit", "n")
     for i in range(DIGITS):
-        prefix = F.shiftrightunsigned("hash", 64 - DIGIT * i) if i else F.lit(0).cast("long")
-        e = edge.where("quota > 0")
-        inside = held.join(e, on(held, e) & (prefix == e["cutoff"])).select(held["source"], held["size"], "quota", "cutoff", digit(i).alias("digit"))
-        counts = inside.groupBy(*key, "quota", "cutoff", "digit").agg(F.count("*").alias("n"))
+        if i:
+            inside = held.join(e, on(held, e) & (F.shiftrightunsigned("hash", 64 - DIGIT * i) == e["cutoff"]))
+            counts = inside.select(held["source"], held["size"], "quota", "cutoff", digit(i).alias("digit")).groupBy(*key, "quota", "cutoff", "digit").agg(F.count("*").alias("n"))
         upto = F.sum("n").over(Window.partitionBy(*key).orderBy("digit"))
         counts = counts.withColumn("upto", upto).where("upto >= quota and upto - n < quota")
-        edge = cut(counts.select(*key, (F.col("quota") - F.col("upto") + F.col("n")).alias("quota"), (F.col("cutoff") * (1 << DIGIT) + F.col("digit")).alias("cutoff")), "edge")
-    e = edge.withColumnRenamed("quota", "last")
+        e = cut(counts.select(*key, (F.col("quota") - F.col("upto") + F.col("n")).alias("quota"), (F.col("cutoff") * (1 << DIGIT) + F.col("digit")).alias("cutoff")), "edge")
+    e = e.withColumnRenamed("quota", "last")
     prefix = F.shiftrightunsigned("hash", 64 - DIGIT * DIGITS)
     at_edge = held.join(e, on(held, e) & (prefix == e["cutoff"])).select(held["source"], held["size"], "last", "row", "doc_id", "hash")
     order = Window.partitionBy(*key).orderBy("hash", "doc_id", "row")
@@ -153,6 +156,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     plan = quotas.join(e, quotas["source"].eqNullSafe(e["source"]) & (quotas["size"] == e["size"]), "left").select(
         quotas["source"], quotas["size"], "base", "source_size", "target", F.coalesce("cutoff", F.lit(-1)).alias("cutoff")
     )
-    taken = rows.join(plan, on(rows, plan)).select(rows["row"], "doc_id", rows["source"], rows["size"], "source_size", "target", "base", (prefix < F.col("cutoff")).cast("int").alias("below"))
+    plan = plan.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    rows = rows.withColumn("part", digit(0).bitwiseAND(PARTS - 1).cast("int"))
+    taken = rows.join(plan, on(rows, plan) & (rows["part"] == plan["part"])).select(rows["row"], "doc_id", rows["source"], rows["size"], "source_size", "target", "base", (prefix < F.col("cutoff")).cast("int").alias("below"))
     repeats = (F.col("base") + F.col("below") + F.coalesce("picked", F.lit(0))).cast("long")
     return taken.join(last, "row", "left").select("doc_id", "source", "size", "source_size", "target", (F.col("size") * repeats).cast("long").alias("taken"), repeats.alias("repeats"))
