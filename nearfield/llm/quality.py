@@ -21,7 +21,7 @@ from .common import cut, small_batches
 from .words import distinct, hashes, words_of
 
 #: Labelled documents fitted on at most, picked by the hash of their ids; the one bound here.
-SAMPLE = 12_000
+SAMPLE = 6_000
 #: Slots of hashed words and word beginnings.
 SLOTS = 1 << 18
 #: Bytes of a word's beginning.
@@ -30,6 +30,8 @@ BEGIN = 4
 TOP = 6
 #: Parts into which labelled documents fall while words are weighed.
 FOLDS = 5
+#: Logit where labels of both kinds are missing: nothing speaks against a document.
+NO_EVIDENCE = -20.0
 #: Part of a path's posterior that is added to the document's own evidence.
 TRUST = 0.5
 
@@ -74,28 +76,37 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return style, distinct(slots).astype(np.int64)
 
 
-def _weights(slots: list[np.ndarray], bad: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Log odds of slots among the documents `which`, 0 for those that tell little."""
-    counts = [np.zeros(SLOTS), np.zeros(SLOTS)]
-    for i in np.flatnonzero(which):
-        counts[int(bad[i])][slots[i]] += 1
-    rate = [(c + 0.5) / (max(1, (which & (bad == b)).sum()) + 1) for b, c in enumerate(counts)]
-    odds = np.log(rate[1] / rate[0])
-    spread = np.sqrt(1 / (counts[0] + 0.5) + 1 / (counts[1] + 0.5))
-    return np.where((counts[1] >= 3) & (odds > 2 * spread), odds, 0.0).astype(np.float32)
+class Labelled:
+    """Fitted documents: style is a matrix, the slots of row i are flat[starts[i]:starts[i + 1]]."""
+
+    def __init__(self, style: np.ndarray, flat: np.ndarray, starts: np.ndarray):
+        self.style, self.flat, self.starts = style, flat, starts
+        self.row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+
+    def slots(self, i: int) -> np.ndarray:
+        return self.flat[self.starts[i] : self.starts[i + 1]]
+
+    def weights(self, bad: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Log odds of slots among the documents `which`, 0 for those that tell little."""
+        counts = [np.bincount(self.flat[(which & (bad == b))[self.row]], minlength=SLOTS) for b in (False, True)]
+        rate = [(c + 0.5) / (max(1, (which & (bad == b)).sum()) + 1) for b, c in enumerate(counts)]
+        odds = np.log(rate[1] / rate[0])
+        spread = np.sqrt(1 / (counts[0] + 0.5) + 1 / (counts[1] + 0.5))
+        return np.where((counts[1] >= 3) & (odds > 2 * spread), odds, 0.0).astype(np.float32)
 
 
 class Model:
     """One logistic model over how a text is written and the weights of its words."""
 
-    def __init__(self, style: list[np.ndarray], slots: list[np.ndarray], bad: np.ndarray):
+    def __init__(self, docs: Labelled, bad: np.ndarray):
+        self.known = bool(0 < bad.sum() < len(bad))  # both kinds are labelled
         fold = np.arange(len(bad)) % FOLDS
-        x = np.zeros((len(bad), len(style[0]) + TOP + 1))
+        x = np.zeros((len(bad), docs.style.shape[1] + TOP + 1))
         for f in range(FOLDS):  # a document's words are weighed without itself
-            self.weights = _weights(slots, bad, fold != f)
+            self.weights = docs.weights(bad, fold != f)
             for i in np.flatnonzero(fold == f):
-                x[i] = self.row(style[i], slots[i])
-        self.weights = _weights(slots, bad, fold >= 0)
+                x[i] = self.row(docs.style[i], docs.slots(i))
+        self.weights = docs.weights(bad, fold >= 0)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         z, y = self._wide(x), bad.astype(float)
         self.beta = np.zeros(z.shape[1])
@@ -120,12 +131,12 @@ class Model:
         return np.concatenate([np.ones((len(z), 1)), z, z**2 / 4], axis=1)
 
     def logit(self, style: np.ndarray, slots: np.ndarray) -> float:
-        return float(np.clip(self._wide(self.row(style, slots)[None])[0] @ self.beta, -20, 20))
+        return NO_EVIDENCE if not self.known else float(np.clip(self._wide(self.row(style, slots)[None])[0] @ self.beta, -20, 20))
 
 
-def fit(style: list[np.ndarray], slots: list[np.ndarray], quality: np.ndarray, toxic: np.ndarray) -> tuple[Model, Model] | None:
+def fit(docs: Labelled, quality: np.ndarray, toxic: np.ndarray) -> tuple[Model, Model] | None:
     """Models of poor and of toxic text; None without labelled documents."""
-    return (Model(style, slots, quality == 0), Model(style, slots, toxic == 1)) if len(style) else None
+    return (Model(docs, quality == 0), Model(docs, toxic == 1)) if len(docs.style) else None
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +146,16 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *kept], ["doc_id", "quality", "toxic", "style", "slots"])
 
 
+def _fitted(made: pa.Table) -> tuple[Model, Model] | None:
+    """Fit on rows of _featured; the slots stay in the one buffer in which they came."""
+    slots = made["slots"].combine_chunks() if made.num_rows else pa.array([], pa.binary())
+    slots = slots.cast(pa.large_binary())
+    starts = np.frombuffer(slots.buffers()[1], np.int64)[slots.offset : slots.offset + len(slots) + 1] // 4 if len(slots) else np.zeros(1, np.int64)
+    flat = np.frombuffer(slots.buffers()[2], "<i4") if len(slots) else np.empty(0, np.int32)
+    style = np.array(made["style"].to_pylist() or np.empty((0, 0)), np.float64)
+    return fit(Labelled(style, flat[starts[0] : starts[-1]], starts - starts[0]), made["quality"].to_numpy(), made["toxic"].to_numpy())
+
+
 def _scored(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = models.value
@@ -142,7 +163,7 @@ def _scored(models):
             out = []
             for text in batch.column(batch.num_columns - 1):
                 made = features(text.as_py() or "")
-                out.append([m.logit(*made) for m in held] if held else [-20.0, -20.0])
+                out.append([m.logit(*made) for m in held] if held else [NO_EVIDENCE] * 2)
             poor, toxic = np.array(out).T if out else (np.empty(0), np.empty(0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(poor), pa.array(toxic)], ["doc_id", "host", "path", "poor", "toxic"])
 
@@ -175,7 +196,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     is a site like another. The p columns are probabilities that a document is poor or toxic:
     from its text, of its host, of its path within the host, and all taken together; rejected
     says whether the last is at least `threshold`. Null and empty texts are judged as texts of no words.
-    Labels with a null in any column don't count; without labels nothing is rejected. Of a
+    Labels with a null in any column don't count; what isn't labelled in both ways, good and bad, is never held against a document. Of a
     repeated doc_id each row gets its own result. At most `sample` labelled documents are fitted
     on, the smallest by hash of doc_id; everything else covers all rows.
     """
@@ -187,8 +208,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     texts = docs.select(F.col("doc_id").cast("long"), text.alias("text")).join(F.broadcast(picked), "doc_id")
     made = texts.select("doc_id", "quality", "toxic", "text").mapInArrow(_featured, "doc_id long, quality int, toxic int, style array<double>, slots binary")
     made = made.orderBy(F.xxhash64("doc_id"), "doc_id", "slots", "quality", "toxic").limit(sample).toArrow()
-    slots = [np.frombuffer(x, "<i4").astype(np.int64) for x in made["slots"].to_pylist()]
-    models = spark.sparkContext.broadcast(fit(list(map(np.array, made["style"].to_pylist())), slots, made["quality"].to_numpy(), made["toxic"].to_numpy()))
+    models = spark.sparkContext.broadcast(_fitted(made))
+    del made
+    pa.default_memory_pool().release_unused()
     source = docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), text.alias("text"))
     scored = cut(source.mapInArrow(_scored(models), "doc_id long, host string, path string, poor double, toxic double"), "scored")
 

@@ -184,8 +184,7 @@ def write_tokens(docs: DataFrame, path: str, spec: str, end_id: int = 0) -> None
     spark = docs.sparkSession
     small_batches(spark)
     sc = spark.sparkContext
-    parsed = json.loads(spec)
-    size = max([*parsed["model"]["vocab"].values(), *(x["id"] for x in parsed.get("added_tokens", [])), end_id]) + 1
+    size = max(end_id, *map(int, re.findall(r'":\s*(\d+)', spec))) + 1  # ids of vocabulary and added tokens, without parsing them all
     kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
