@@ -1,4 +1,8 @@
-"""Queries over `embeddings`, with the label as a deterministic bucket, and the same in DuckDB SQL."""
+"""Queries over `embeddings`, with the label as a deterministic bucket, and the same in DuckDB SQL.
+
+Queries named *_whole take all rows, and searches every id divisible by 100, where the query of
+the name without it takes a fixed few rows, as its SQL does.
+"""
 
 from __future__ import annotations
 
@@ -49,13 +53,22 @@ _CTES = [
   UNION ALL SELECT vec_id + 600, vec_id + 1000, bucket_id FROM e WHERE vec_id < 30)"""),
     ("st", "st AS (SELECT vec_id FROM e WHERE vec_id < 400)"),
     ("w", "w AS (SELECT i AS pos, (i * 37) % 700 AS vec_id FROM generate_series(0, 39) t(i) UNION ALL SELECT 40, 37 UNION ALL SELECT 41, 999999)"),
+    ("qw", "qw AS (SELECT vec_id AS qid, v AS qv FROM e WHERE vec_id % 100 = 0)"),
+    ("qcw", "qcw AS (SELECT vec_id AS qid, code FROM ec WHERE vec_id % 100 = 0)"),
+    ("rw", "rw AS (SELECT qid, bucket_id, CASE WHEN list_dot_product(qcw.code, qcw.code) <= 0 OR list_dot_product(cc.code, cc.code) <= 0 THEN 1::DOUBLE ELSE 1 - list_dot_product(qcw.code, cc.code) * (1 / sqrt(list_dot_product(qcw.code, qcw.code))) * (1 / sqrt(list_dot_product(cc.code, cc.code))) END AS d FROM qcw, cc)"),
+    ("rrw", "rrw AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, bucket_id) AS rank FROM rw)"),
+    ("xw", "xw AS (SELECT qid, vec_id, list_distance(qv, v) AS d, row_number() OVER (PARTITION BY qid ORDER BY list_distance(qv, v), vec_id) AS rank FROM qw, e)"),
+    ("incw", """incw AS (SELECT vec_id * 2 AS vec_id, vec_id AS seq, bucket_id FROM e
+  UNION ALL SELECT vec_id * 2 + 1, vec_id + 1000000000, bucket_id FROM e WHERE vec_id % 10 = 0
+  UNION ALL SELECT vec_id * 2 + 1, vec_id + 2000000000, bucket_id FROM e WHERE vec_id % 10 = 0)"""),
     ("fp", "fp AS (SELECT bucket_id, arg_min(v, vec_id) AS base FROM e GROUP BY bucket_id)"),
     ("f1", "f1 AS (SELECT e.bucket_id, arg_max(vec_id, (list_distance(v, base), -vec_id)) AS a, arg_max(v, (list_distance(v, base), -vec_id)) AS av FROM e JOIN fp USING (bucket_id) GROUP BY e.bucket_id)"),
     ("f2", "f2 AS (SELECT e.bucket_id, any_value(a) AS a, any_value(av) AS av, arg_max(vec_id, (list_distance(v, av), -vec_id)) AS b, arg_max(v, (list_distance(v, av), -vec_id)) AS bv FROM e JOIN f1 USING (bucket_id) GROUP BY e.bucket_id)"),
 ]
 _USES = {
     "q": "e", "cl": "e", "c": "e cl", "b": "e cl", "cc": "e cl c b", "qc": "e q cl b", "ec": "e cl b", "r": "e q cl c b cc qc", "rr": "e q cl c b cc qc r",
-    "x": "e q", "lg": "e", "nw": "e lg", "s": "e", "ka": "e s", "inc": "e", "st": "e", "fp": "e", "f1": "e fp", "f2": "e fp f1",
+    "x": "e q", "lg": "e", "nw": "e lg", "s": "e", "ka": "e s", "inc": "e", "st": "e",
+    "qw": "e", "qcw": "e cl b ec", "rw": "e cl c b cc ec qcw", "rrw": "e cl c b cc ec qcw rw", "xw": "e qw", "incw": "e", "fp": "e", "f1": "e fp", "f2": "e fp f1",
 }
 
 
@@ -467,6 +480,170 @@ def sample_by_hash_order(spark, sf_dir):
     return sample_rows(table(spark, sf_dir).select("vec_id"), 40, 5, "vec_id").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"))
 
 
+# -- the same over all rows -------------------------------------------------------------------
+
+
+def asked_whole(rows: DataFrame) -> DataFrame:
+    return rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+
+
+@query("knn_exact_top10_whole", "SELECT qid, rank, vec_id, round(d, 6) AS distance FROM xw WHERE rank <= 10")
+def knn_exact_top10_whole(spark, sf_dir):
+    rows = table(spark, sf_dir)
+    return search.knn_exact(rows, asked_whole(rows), 10).withColumn("distance", _fix("distance"))
+
+
+@query("knn_with_vectors_whole", "SELECT qid, rank, vec_id, pos, round(x1, 6) AS value FROM (SELECT xw.qid, xw.rank, xw.vec_id, unnest(v) AS x1, generate_subscripts(v, 1) - 1 AS pos FROM xw JOIN e USING (vec_id) WHERE rank <= 3)")
+def knn_with_vectors_whole(spark, sf_dir):
+    rows = table(spark, sf_dir)
+    found = search.with_vectors(search.knn_exact(rows, asked_whole(rows), 3), rows)
+    return found.select("qid", "rank", "vec_id", F.posexplode("embedding").alias("pos", "x")).select("qid", "rank", "vec_id", F.col("pos").cast("long").alias("pos"), _fix(F.col("x").cast("double")).alias("value"))
+
+
+def _probed_whole(probes: int):
+    @query(
+        f"knn_probes_{probes}_whole",
+        f"SELECT qid, rank, vec_id, round(d, 6) AS distance FROM (SELECT qw.qid, vec_id, list_distance(qv, v) AS d, row_number() OVER (PARTITION BY qw.qid ORDER BY list_distance(qv, v), vec_id) AS rank FROM qw JOIN rrw ON qw.qid = rrw.qid AND rrw.rank <= {probes} JOIN e ON e.bucket_id = rrw.bucket_id) t WHERE rank <= 10",
+    )
+    def run(spark, sf_dir):
+        rows = table(spark, sf_dir)
+        return search.knn_probed(rows, asked_whole(rows), clustering.centroids(rows), 10, probes, DIM).withColumn("distance", _fix("distance"))
+
+
+for _p in (1, 2, 5, 10):
+    _probed_whole(_p)
+
+
+@query("route_top3_whole", "SELECT qid, rank, bucket_id, round(d, 6) AS distance FROM rrw WHERE rank <= 3")
+def route_top3_whole(spark, sf_dir):
+    rows = table(spark, sf_dir)
+    return search.route(asked_whole(rows), clustering.centroids(rows), 3, DIM).select("qid", "rank", "bucket_id", _fix("distance").alias("distance"))
+
+
+@query("routing_distance_whole", "SELECT qid, bucket_id, round(d, 6) AS distance FROM rw")
+def routing_distance_whole(spark, sf_dir):
+    rows = table(spark, sf_dir)
+    return search.route(asked_whole(rows), clustering.centroids(rows), 1 << 30, DIM).select("qid", "bucket_id", _fix("distance").alias("distance"))
+
+
+@query(
+    "recall_at_10_whole",
+    "SELECT count(f.vec_id) AS hits, count(*) AS reachable, round(count(f.vec_id) / count(*), 6) AS recall FROM (SELECT qid, vec_id FROM xw WHERE rank <= 10) t LEFT JOIN (SELECT qid, vec_id FROM (SELECT qw.qid, vec_id, row_number() OVER (PARTITION BY qw.qid ORDER BY list_distance(qv, v), vec_id) AS rank FROM qw JOIN rrw ON qw.qid = rrw.qid AND rrw.rank <= 3 JOIN e ON e.bucket_id = rrw.bucket_id) u WHERE rank <= 10) f ON f.qid = t.qid AND f.vec_id = t.vec_id",
+)
+def recall_at_10_whole(spark, sf_dir):
+    rows = table(spark, sf_dir)
+    q = asked_whole(rows)
+    found = search.knn_probed(rows, q, clustering.centroids(rows), 10, 3, DIM)
+    return search.recall(found, search.knn_exact(rows, q, 10)).withColumn("recall", _fix("recall"))
+
+
+@query("dedupe_keep_nearest_whole", "SELECT qid, vec_id, round(min(d), 6) AS distance FROM (SELECT qid, vec_id, d + 0.5 AS d FROM xw WHERE rank <= 10 UNION ALL SELECT qid, vec_id, d FROM xw WHERE rank <= 15) t GROUP BY qid, vec_id")
+def dedupe_keep_nearest_whole(spark, sf_dir):
+    rows = table(spark, sf_dir)
+    best = search.knn_exact(rows, asked_whole(rows), 15)
+    twice = best.where("rank <= 10").withColumn("distance", F.col("distance") + 0.5).unionByName(best)
+    return search.keep_nearest(twice).withColumn("distance", _fix("distance"))
+
+
+def _with_first(rows: DataFrame) -> DataFrame:
+    """Each row beside row 0."""
+    first = rows.where("vec_id = 0").select(F.col("vec_id").alias("b"), F.col("embedding").alias("bv"))
+    return rows.select(F.col("vec_id").alias("a"), F.col("embedding").alias("av")).crossJoin(F.broadcast(first))
+
+
+_WITH_FIRST = "(SELECT a.vec_id AS a, b.vec_id AS b, a.v AS av, b.v AS bv FROM e a, e b WHERE b.vec_id = 0) t"
+
+
+@query("l2_pairwise_whole", f"SELECT a, b, round(list_distance(av, bv), 6) AS distance FROM {_WITH_FIRST}")
+def l2_pairwise_whole(spark, sf_dir):
+    return _with_first(table(spark, sf_dir)).select("a", "b", _fix(V.l2(F.col("av"), F.col("bv"), DIM)).alias("distance"))
+
+
+@query("l2sq_pairwise_whole", f"SELECT a, b, round(list_sum(list_transform(list_zip(av, bv), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS distance FROM {_WITH_FIRST}")
+def l2sq_pairwise_whole(spark, sf_dir):
+    return _with_first(table(spark, sf_dir)).select("a", "b", _fix(V.l2_squared(F.col("av"), F.col("bv"))).alias("distance"))
+
+
+@query("center_i8_whole", "SELECT vec_id, pos, CAST(code1 AS BIGINT) AS code FROM (SELECT vec_id, unnest(code) AS code1, generate_subscripts(code, 1) - 1 AS pos FROM ec)")
+def center_i8_whole(spark, sf_dir):
+    rows = _coded(spark, sf_dir).select("vec_id", F.posexplode(V.centre(F.col("u8"))).alias("pos", "code"))
+    return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("code").cast("long").alias("code"))
+
+
+@query("running_mean_insert_whole", "SELECT bucket_id, pos, round(avg(u), 6) AS mean FROM (SELECT bucket_id, unnest(v) AS u, generate_subscripts(v, 1) - 1 AS pos FROM e) t GROUP BY bucket_id, pos")
+def running_mean_insert_whole(spark, sf_dir):
+    """Centroids of four rows in five moved on by the fifth: (c n + sum) / (n + m)."""
+    rows = table(spark, sf_dir)
+    first, new = rows.where("vec_id % 5 <> 4"), rows.where("vec_id % 5 = 4")
+    n = first.groupBy("bucket_id").agg(F.count("*").alias("n"))
+    added = clustering.centroids_long(new).withColumnRenamed("mean", "new").join(new.groupBy("bucket_id").agg(F.count("*").alias("m")), "bucket_id")
+    both = clustering.centroids_long(first).join(n, "bucket_id").join(added, ["bucket_id", "pos"], "full")
+    a, b = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
+    return both.select("bucket_id", "pos", _fix((F.coalesce("mean", F.lit(0.0)) * a + F.coalesce("new", F.lit(0.0)) * b) / (a + b)).alias("mean"))
+
+
+def _incoming_whole(rows: DataFrame) -> DataFrame:
+    """Every row by an even id, every 10th twice more by an odd one; about half of the ids are stored."""
+    one = rows.select((F.col("vec_id") * 2).alias("vec_id"), F.col("vec_id").alias("seq"), "bucket_id")
+    two = rows.where("vec_id % 10 = 0").select((F.col("vec_id") * 2 + 1).alias("vec_id"), (F.col("vec_id") + 1_000_000_000).alias("seq"), "bucket_id")
+    return one.unionByName(two).unionByName(two.withColumn("seq", F.col("seq") + 1_000_000_000))
+
+
+@query("insert_accept_whole", "SELECT vec_id, min(seq) AS seq FROM incw WHERE vec_id NOT IN (SELECT vec_id FROM e) GROUP BY vec_id")
+def insert_accept_whole(spark, sf_dir):
+    rows = table(spark, sf_dir)
+    return ingest.accepted(_incoming_whole(rows), rows).select("vec_id", "seq")
+
+
+@query("insert_reject_whole", "SELECT vec_id, seq FROM incw WHERE vec_id IN (SELECT vec_id FROM e)")
+def insert_reject_whole(spark, sf_dir):
+    rows = table(spark, sf_dir)
+    return ingest.rejected(_incoming_whole(rows), rows).select("vec_id", "seq")
+
+
+@query("batch_duplicates_whole", "SELECT vec_id, count(*) AS n FROM incw GROUP BY vec_id HAVING count(*) > 1")
+def batch_duplicates_whole(spark, sf_dir):
+    return ingest.duplicates(_incoming_whole(table(spark, sf_dir)))
+
+
+@query(
+    "bulk_ingest_batches_whole",
+    "SELECT vec_id // 100 AS batch_id, bucket_id, count(*) AS n FROM incw GROUP BY ALL HAVING count(*) = count(DISTINCT vec_id) AND count(*) FILTER (vec_id IN (SELECT vec_id FROM e)) = 0",
+)
+def bulk_ingest_batches_whole(spark, sf_dir):
+    rows = table(spark, sf_dir)
+    batches = _incoming_whole(rows).withColumn("batch_id", F.floor(F.col("vec_id") / 100).cast("long"))
+    return ingest.accepted_batches(batches, rows).groupBy("batch_id", "bucket_id").agg(F.count("*").alias("n"))
+
+
+_META_WHOLE = "(SELECT vec_id AS seq, bucket_id, CASE WHEN vec_id % 3 = 0 THEN 'Retired' ELSE 'Active' END AS status FROM e)"
+
+
+def _meta_whole(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("vec_id").alias("seq"), "bucket_id", F.when(F.col("vec_id") % 3 == 0, "Retired").otherwise("Active").alias("status"))
+
+
+@query("bucket_meta_latest_whole", f"SELECT bucket_id, arg_max(status, seq) AS status FROM {_META_WHOLE} t GROUP BY bucket_id")
+def bucket_meta_latest_whole(spark, sf_dir):
+    return vlog.latest_status(_meta_whole(table(spark, sf_dir)))
+
+
+@query("active_buckets_whole", f"SELECT bucket_id FROM {_META_WHOLE} t GROUP BY bucket_id HAVING arg_max(status, seq) <> 'Retired'")
+def active_buckets_whole(spark, sf_dir):
+    return vlog.latest_status(_meta_whole(table(spark, sf_dir))).where("status <> 'Retired'").select("bucket_id")
+
+
+@query(
+    "snapshot_replay_whole",
+    "SELECT bucket_id, arg_max(n, seq) AS n FROM (SELECT -1 AS seq, bucket_id, count(*) AS n FROM e GROUP BY bucket_id UNION ALL SELECT vec_id, bucket_id, vec_id * 10 FROM e WHERE bucket_id % 3 <> 0) t GROUP BY bucket_id",
+)
+def snapshot_replay_whole(spark, sf_dir):
+    """A snapshot of all buckets; every row of two buckets in three updates it, the third keep their count."""
+    rows = table(spark, sf_dir)
+    updates = rows.where("bucket_id % 3 <> 0").select(F.col("vec_id").alias("seq"), "bucket_id", (F.col("vec_id") * 10).alias("n"))
+    return vlog.replay(bucket_counts(spark, sf_dir), updates)
+
+
 # -- procedures: rows only --------------------------------------------------------------------
 
 
