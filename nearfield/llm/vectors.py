@@ -31,6 +31,8 @@ PART = 1024
 STEP = 16
 #: Strictness of the test: a candidate is dropped if it exceeds its bound by this many spreads.
 SPREADS = 3.0
+#: Rounding of a square distance against the squares of its two vectors, at most.
+ROUNDING = 1e-12
 #: Sample queries by which the number of probed lists is set, and the recall it must reach there.
 TRIAL, RECALL = 256, 0.98
 
@@ -178,19 +180,23 @@ def scan(blocks: list[np.ndarray], queries: np.ndarray, bounds: np.ndarray, spre
 
     After d of D dimensions a partial square distance s speaks for s * D / d in all, with a
     relative spread of the square root of 2 / d; beyond bound * (1 + spreads * that) the
-    candidate is dropped. After the last block the bound itself holds.
+    candidate is dropped. After the last block the bound itself holds. Each test allows for
+    the rounding of _squares, which grows with the vectors' own squares: a copy whose bound is
+    0 stays.
     """
     dim = queries.shape[1]
     upto = blocks[0].shape[1]
     part = _squares(queries[:, :upto], blocks[0])
-    q, c = np.nonzero(part * (dim / upto) <= bounds[:, None] * (1 + spreads * np.sqrt(2 / upto)) if upto < dim else part <= bounds[:, None] * (1 + 1e-9) + 1e-9)
-    s = part[q, c]
+    own, other = (queries * queries).sum(axis=1), sum((block * block).sum(axis=1) for block in blocks)
+    rounding = 1e-9 + ROUNDING * (dim / upto) * (own[:, None] + other[None, :])
+    q, c = np.nonzero(part * (dim / upto) <= bounds[:, None] * (1 + (spreads * np.sqrt(2 / upto) if upto < dim else 1e-9)) + rounding)
+    s, rounding = part[q, c], rounding[q, c]
     for block in blocks[1:]:
         s = s + ((queries[q, upto : upto + block.shape[1]] - block[c]) ** 2).sum(axis=1)
         upto += block.shape[1]
-        slack = bounds[q] * (1 + (spreads * np.sqrt(2 / upto) if upto < dim else 1e-9)) + 1e-9
+        slack = bounds[q] * (1 + (spreads * np.sqrt(2 / upto) if upto < dim else 1e-9)) + rounding
         keep = s * (dim / upto) <= slack
-        q, c, s = q[keep], c[keep], s[keep]
+        q, c, s, rounding = q[keep], c[keep], s[keep], rounding[keep]
     return q, c
 
 

@@ -60,3 +60,34 @@ def test_scan_drops_far_ones_only():
     a, b = scan([x[:, i : i + 16] for i in range(0, 64, 16)], q, bounds)
     true = d <= bounds[:, None] * (1 + 1e-9)
     assert len(a) <= true.sum() and sum(true[i, j] for i, j in zip(a, b, strict=True)) >= 0.97 * true.sum()
+
+
+def test_scan_keeps_copies():
+    rng = np.random.default_rng(5)
+    kept = of = 0
+    for scale in (1.0, 1e4):
+        for _ in range(100):
+            q = scale * rng.normal(size=(5, 64))
+            x = np.concatenate([np.repeat(q, 40, axis=0), scale * rng.normal(size=(100, 64))])
+            a, b = scan([x[:, i : i + 16] for i in range(0, 64, 16)], q, np.zeros(5))
+            kept += sum(j < 200 and j // 40 == i for i, j in zip(a, b, strict=True))
+            of += 200
+            assert (b < 200).all()
+    assert kept == of, f"{kept} of {of} copies"
+
+
+def test_copies_outside_the_sample(spark):
+    rng = np.random.default_rng(6)
+    ids = rng.permutation(3000)
+    x = np.float32(rng.normal(size=(3000, 64)))
+    x[:1000] = np.repeat(x[:8], 125, axis=0)
+    rows = [(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=10, sample=600).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    right = of = 0
+    for group in ids[:1000].reshape(8, 125):
+        for i in group[group % 10 == 0].tolist():
+            right += sum(got[i][at + 1] == (j, 0.0) for at, j in enumerate([j for j in sorted(group.tolist()) if j != i][:10]))
+            of += 10
+    assert right == of > 0, f"{right} of {of}"
