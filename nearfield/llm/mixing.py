@@ -114,17 +114,18 @@ def _quotas(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": frame["source"], "size": frame["size"], "base": base, "quota": extra, "source_size": size, "target": target})
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, repeats.
 
     size counts words parted by ASCII white space (null: 0). repeats says how often the mix
     takes the document, at most `most` times, and taken the words that makes. Null is a source
     of its own, last in order. Documents of no words are never taken beyond their source's
     whole passes. A rerun picks the same documents; rows that agree in doc_id, source and size
-    are alike, whichever is picked. Empty tables give no rows. Only doc_id, source and text are read.
+    are alike, whichever is picked. Empty tables give no rows. Only doc_id, source and text are read,
+    and the columns named in `carry`, which follow doc_id in the result.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.col("source").cast("string"), size_of(F.col("text").cast("string")).alias("size"))
+    rows = docs.select("doc_id", *carry, F.col("source").cast("string"), size_of(F.col("text").cast("string")).alias("size"))
     rows = cut(rows.withColumn("hash", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("row", F.monotonically_increasing_id()), "sizes")
     digit = lambda i: F.shiftrightunsigned("hash", 64 - DIGIT * (i + 1)).bitwiseAND((1 << DIGIT) - 1)
     tally = cut(rows.groupBy("source", "size", digit(0).alias("digit")).agg(F.count("*").alias("n")), "tally")
@@ -158,6 +159,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     )
     plan = plan.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     rows = rows.withColumn("part", digit(0).bitwiseAND(PARTS - 1).cast("int"))
-    taken = rows.join(plan, on(rows, plan) & (rows["part"] == plan["part"])).select(rows["row"], "doc_id", rows["source"], rows["size"], "source_size", "target", "base", (prefix < F.col("cutoff")).cast("int").alias("below"))
+    taken = rows.join(plan, on(rows, plan) & (rows["part"] == plan["part"])).select(rows["row"], "doc_id", *carry, rows["source"], rows["size"], "source_size", "target", "base", (prefix < F.col("cutoff")).cast("int").alias("below"))
     repeats = (F.col("base") + F.col("below") + F.coalesce("picked", F.lit(0))).cast("long")
-    return taken.join(last, "row", "left").select("doc_id", "source", "size", "source_size", "target", (F.col("size") * repeats).cast("long").alias("taken"), repeats.alias("repeats"))
+    return taken.join(last, "row", "left").select("doc_id", *carry, "source", "size", "source_size", "target", (F.col("size") * repeats).cast("long").alias("taken"), repeats.alias("repeats"))

@@ -189,7 +189,7 @@ def _strength(groups: DataFrame, level: float) -> float:
     return float(np.clip(within / between - 1, 2.0, 1e6)) if between > 0 else 1e6
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, sample: int = SAMPLE, key: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, p_document, p_host, p_path, p_bad, rejected.
 
     `host` and `path` name the columns that stand for a document's site and the part of it; null
@@ -198,7 +198,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     says whether the last is at least `threshold`. Null and empty texts are judged as texts of no words.
     Labels with a null in any column don't count; what isn't labelled in both ways, good and bad, is never held against a document. Of a
     repeated doc_id each row gets its own result. At most `sample` labelled documents are fitted
-    on, the smallest by hash of doc_id; everything else covers all rows.
+    on, the smallest by hash of doc_id; everything else covers all rows. With `key`, a long column
+    of docs, results bear that column in place of doc_id; labels are still found by doc_id.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -211,7 +212,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     models = spark.sparkContext.broadcast(_fitted(made))
     del made
     pa.default_memory_pool().release_unused()
-    source = docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), text.alias("text"))
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), text.alias("text"))
     scored = cut(source.mapInArrow(_scored(models), "doc_id long, host string, path string, poor double, toxic double"), "scored")
 
     own = 1 - (1 - _rate("poor")) * (1 - _rate("toxic"))
@@ -231,5 +232,5 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     return (
         each.withColumn("p_path", p_path)
         .withColumn("p_bad", p_bad)
-        .select("doc_id", F.col("p").alias("p_document"), "p_host", "p_path", "p_bad", (F.col("p_bad") >= threshold).alias("rejected"))
+        .select(F.col("doc_id").alias(key), F.col("p").alias("p_document"), "p_host", "p_path", "p_bad", (F.col("p_bad") >= threshold).alias("rejected"))
     )
