@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash banding, in place of an LSH forest.
 
-Each text is the set of its five-word shingles. TREES signatures of DEPTH minima are each the
-path of a leaf in a prefix trie; here a trie is kept as the hashes of its nodes at each depth.
-Matching starts at the deepest prefix and is shortened until the recall that the trees together
-reach at the threshold is at least the target. Texts that meet in a node at that depth are
+Each text is the set of its five-word shingles. It is signed by TREES prefixes of one depth: the
+longest, DEPTH minima at most, at which by formula the recall that the trees together reach at the
+threshold is at least the target. No trie and no other depth is kept, as texts that meet deeper
+meet at that depth too. Texts that meet in a node are
 candidates; connected candidates are compared exactly, in blocks of bounded size, so that a
 group of any size is spread over tasks and no list of its pairs is ever made: a block yields the
 links it found per text and a spanning forest of them. Components of these are the classes.
