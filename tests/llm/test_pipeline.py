@@ -74,3 +74,59 @@ def test_mix_takes_each_row_by_itself(spark, folder):
     want = {r["source"]: r["taken"] for r in mixing.mix(numbered).groupBy("source").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "taken").collect()}
     assert dict(words) == want
     assert ran(corpus_pipeline.mixed, spark, docs.repartition(3, "text"), folder) == got
+
+
+def test_stages_against_brute_force(spark, folder):
+    """All stages in turn, with further columns that clash with the stages' own."""
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from nearfield.llm import queries
+    from nearfield.llm.words import words_of
+
+    items = [words_of(prose("item one", 20)), words_of(prose("item two", 20))]
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    base = [(i, prose(i, 20 + i % 7), "ab"[i % 2]) for i in range(200)]
+    more = [(i, t + " Tail.", s) for i, t, s in base[1:60:6]] + [(None, t, s) for _, t, s in base[1:40:4]] + base[51:70:2]
+    tainted = [(None, f"{prose(900)} {prose('item one', 20)}", "a"), (7, f"{prose(901)} {prose('item two', 20)}", "b")]
+    rows = [(i, t.upper().replace(" ", "!! ") if i is not None and i % 2 == 0 else t, s) for i, t, s in base + more] + tainted + [(None, "", "a"), (300, None, None)]
+    docs = frame(spark, rows).selectExpr("*", "1 as _row", "'x' as class_id", "2 as rejected", "3 as repeats", "4 as row", "5 as hits")
+    stages = dict(corpus_pipeline.STAGES)
+
+    docs1 = stages["quality classifier"](spark, docs, str(folder))
+    judged = [(r["doc_id"], r["text"], r["source"]) for r in docs1.collect()]
+    wordy = [r for r in rows if words_of(r[1])]
+    assert Counter(r for r in judged if words_of(r[1])) == Counter(r for r in wordy if "!!" not in r[1])
+
+    sets = [grams(words_of(t), 5) for _, t, _ in judged]
+    root = list(range(len(judged)))
+    for i in range(len(judged)):
+        for j in range(i):
+            if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if x == root[i] else x for x in root]
+    first = {}
+    for i, (d, _, _) in enumerate(judged):
+        first[root[i]] = min(first.get(root[i], (True, 0)), (d is None, d or 0))
+    docs2 = stages["n-gram Jaccard join"](spark, docs1, str(folder))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in docs2.collect()) == sorted(first.values())
+
+    single = [(r["doc_id"], r["text"], r["source"]) for r in docs2.collect()]
+    docs3 = stages["benchmark decontamination"](spark, docs2, str(folder))
+    clean = Counter(r for r in single if not any(grams(words_of(r[1]), 8) & grams(w, 8) for w in items))
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in docs3.collect()) == clean and sum(clean.values()) == len(single) - 2
+
+    docs4 = stages["mixing sources to target weights"](spark, docs3, str(folder))
+    taken = Counter((r["doc_id"], r["text"], r["source"]) for r in docs4.collect())
+    assert taken.keys() <= clean.keys() and all(n <= 3 * clean[r] for r, n in taken.items()) and taken
+
+    tokenizer = Tokenizer.from_str(queries.tokenizer_json())
+    crc = lambda t: zlib.crc32(np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [0], "<u4").tobytes())
+    files = stages["token-ID / binary output"](spark, spark.createDataFrame([(i, t, "en", s, 0) for (i, t, s), n in taken.items() for _ in range(n)], KIND), str(folder))
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in files.collect()) == Counter({(k, c): n for (k, c), n in sum((Counter({(i, crc(t)): n}) for (i, t, _), n in taken.items()), Counter()).items()})
+
+
+def test_stages_of_nothing(spark, folder):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], KIND), str(folder)).count() == 0, name
