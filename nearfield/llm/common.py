@@ -20,10 +20,13 @@ _own_dir: list[str] = []
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, the folder all executors share.
 
-    Where the setting is absent (tests, one machine), a temporary folder is made.
+    Where the setting is absent, a temporary folder is made if everything runs on one machine;
+    on a cluster, whose executors wouldn't share it, the call fails.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="nearfield-"))
         base = "file://" + _own_dir[0]
@@ -34,7 +37,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared scratch area and read it back: later jobs restart from the files."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._cut = path
+    return held
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `cut` has written and nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table._cut)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -1,35 +1,43 @@
-"""N-gram Jaccard join by MinHash banding, in place of an LSH forest.
-
-Each text is the set of its five-word shingles. It is signed by TREES prefixes of one depth: the
-longest, DEPTH minima at most, at which by formula the recall that the trees together reach at the
-threshold is at least the target. No trie and no other depth is kept, as texts that meet deeper
-meet at that depth too. Texts that meet in a node are
-candidates; connected candidates are compared exactly, in blocks of bounded size, so that a
-group of any size is spread over tasks and no list of its pairs is ever made: a block yields the
-links it found per text and a spanning forest of them. Components of these are the classes.
+"""N-gram Jaccard join by a MinHash LSH forest.
+
+Each text is the set of its five-word shingles. In each of TREES trees it has a leaf: its first
+minima in a fixed order, as a key whose prefixes are the nodes on the way up, so that the leaves
+in order of their keys are the tree's trie. Texts that share the deepest nodes are compared
+first, exactly. What these links say of the similarities that occur gives the recall reached at
+that depth, band by band; while it is below the target, matched prefixes are shortened to the depth
+that should reach it, at most to the one that does so for any pair at the threshold.
+
+Texts are compared in blocks of bounded size, laid out so that those that meet lie together, and
+two blocks only if some node has texts of both: a group of any size is spread over tasks, a long
+chain of groups isn't compared all with all, and no list of pairs of texts is ever made. A
+comparison yields the links it found per text and a spanning forest of them. Components of these
+are the classes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, in_bitmap, small_batches
+from .common import bitmap, cut, discard, in_bitmap, small_batches
 from .words import mix, shingles, words_of
 
 #: Words of a shingle, and the similarity from which texts are linked.
 WORDS, SIMILARITY = 5, 0.8
-#: Trees, and their greatest depth.
-TREES, DEPTH = 48, 12
-#: Chance at which a pair at the threshold has to be found.
+#: Trees, their greatest depth, and the depths kept above the floor; a label of one has 16 bits.
+TREES, DEPTH, LEVELS = 48, 12, 4
+#: Share of the links in each band of similarity that has to be found, by estimate.
 RECALL = 0.9995
-#: Texts on each side of a compared block.
-BLOCK = 256
+#: Similarities are counted in hundredths; so many make a band.
+BAND = 5
+#: A block has 2**BLOCK texts, or fewer if they are long: about 2**SHINGLES shingles at most, one text at least.
+BLOCK, SHINGLES = 8, 19
 #: Shingles of a block that are laid out as bits at a time.
 CODES = 1 << 15
 
@@ -37,16 +45,37 @@ _MULTIPLY = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)).astype(np.uint
 _ADD = mix(np.arange(1 << 20, (1 << 20) + TREES * DEPTH, dtype=np.uint64)).astype(np.uint32)
 
 
+def chance(similarity, depth: int, trees: int = TREES):
+    """That two texts share a node of `depth` in any tree."""
+    return 1 - (1 - np.asarray(similarity, float) ** depth) ** trees
+
+
 def depth_for(similarity: float, recall: float, trees: int = TREES, deepest: int = DEPTH) -> int:
-    """The longest prefix at which the trees together still reach the recall; 1 at least."""
+    """The longest prefix at which a pair at the similarity is found with a chance of `recall`; 1 at least."""
     depth = deepest
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
+    while depth > 1 and chance(similarity, depth, trees) < recall:
+        depth -= 1
+    return depth
+
+
+def shortened(links: dict[int, int], depth: int, floor: int, recall: float) -> int:
+    """The longest prefix, `depth` at most, at which each band of similarity should reach the recall.
+
+    `links` counts the links found at `depth` by hundredths of similarity. A link counts as many times as
+    pairs like it are to be expected for one that is found (Horvitz and Thompson's estimate).
+    """
+    bands: dict[int, list[tuple[float, float]]] = {}
+    for hundredths, n in links.items():
+        s = min(hundredths, 100) / 100
+        bands.setdefault(hundredths // BAND, []).append((s, n / float(chance(s, depth))))
+    while depth > floor and any(sum(w * chance(s, depth) for s, w in band) < recall * sum(w for _, w in band) for band in bands.values()):
         depth -= 1
     return depth
 
 
-def signature(hashes: np.ndarray, depth: int) -> np.ndarray:
-    """One 64-bit node hash per tree: that of the prefix of `depth` minima."""
+def signature(hashes: np.ndarray, floor: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each tree's leaf: a 64-bit hash of the first `floor` minima, and the labels of `levels` more."""
+    depth = floor + levels
     low = np.full(TREES * depth, 0xFFFFFFFF, np.uint32)
     x = (hashes >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(x), 256):
@@ -54,23 +83,28 @@ def signature(hashes: np.ndarray, depth: int) -> np.ndarray:
         np.minimum(low, part.min(axis=0), out=low)
     rows = low.reshape(TREES, depth).astype(np.uint64)
     node = mix(np.arange(1, TREES + 1, dtype=np.uint64))
-    for i in range(depth):
+    for i in range(floor):
         node = mix(node ^ (rows[:, i] + np.uint64((i + 1) << 32)))
-    return node
+    labels = np.zeros(TREES, np.uint64)
+    for i in range(floor, depth):
+        labels = (labels << np.uint64(16)) | (rows[:, i] & np.uint64(0xFFFF))
+    return node, labels
 
 
-def _signed(words: int, depth: int):
+def _signed(words: int, floor: int, levels: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, nodes, sizes = [], [], []
+            sets, nodes, labels, sizes = [], [], [], []
             for text in batch.column(1):
                 s = shingles(words_of(text.as_py()), words)
+                node, label = signature(s, floor, levels) if len(s) else (None, None)
                 sizes.append(len(s))
                 sets.append(_name(s) if len(s) else None)
-                nodes.append(signature(s, depth).view(np.int64).tolist() if len(s) else None)
+                nodes.append(node.view(np.int64) if len(s) else None)
+                labels.append(label.view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(nodes, pa.list_(pa.int64()))],
-                ["doc_id", "text_set", "n", "nodes"],
+                [batch.column(0), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(nodes, pa.list_(pa.int64())), pa.array(labels, pa.list_(pa.int64()))],
+                ["doc_id", "text_set", "n", "nodes", "labels"],
             )
 
     return run
@@ -78,8 +112,6 @@ def _signed(words: int, depth: int):
 
 def _name(s: np.ndarray) -> bytes:
     """16 bytes that tell sets of shingles apart."""
-    import hashlib
-
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
@@ -105,19 +137,22 @@ def components(links: DataFrame) -> DataFrame:
     """Of links (a, b): one row per node, `node` and `root`, the smallest node of its component.
 
     Large-star and small-star steps in turn; each halves the distances that are left and writes
-    its links, so that lineage stays short. Nothing but one row of counts reaches the driver.
+    its links, so that lineage stays short. Smallest neighbours are written before they are joined
+    with the links, so that Spark can split a hub's links over tasks. Nothing but one row of counts
+    reaches the driver.
     """
     links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = cut(large, "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        discard(links, low)
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        links = cut(small, "small")
+        links = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "small")
+        discard(large, low)
         row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (row["n"], row["h"]) == before:
             break
@@ -139,7 +174,7 @@ def _compared(similarity: float):
         out = np.zeros((len(left), len(right)), np.int32)
         for at in range(0, int((times > 1).sum()), CODES):
             here = (codes >= at) & (codes < at + CODES)
-            dense = np.zeros((len(sets), CODES), bool)
+            dense = np.zeros((len(sets), min(CODES, -(-(int(codes.max()) + 1 - at) // 64) * 64)), bool)
             dense[rows[here], codes[here] - at] = True
             bits = np.packbits(dense, axis=1).view(np.uint64)
             those = bits[right]
@@ -148,16 +183,20 @@ def _compared(similarity: float):
         return out
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, first, second = key
-        names = frame["text_set"].tolist()
+        first, second = key
+        names = frame["name"].tolist()
         sets = [np.frombuffer(x, "<u8") for x in frame["shingles"]]
         side = frame["block"].to_numpy()
         sizes = np.array([len(s) for s in sets])
         left, right = np.flatnonzero(side == first), np.flatnonzero(side == second)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": [], "links": [], "hundredths": []})
         common = shared(sets, left, right)
-        alike = common >= similarity * (sizes[left][:, None] + sizes[right][None, :] - common) - 1e-9
+        either = sizes[left][:, None] + sizes[right][None, :] - common
+        alike = common >= similarity * either - 1e-9
         if first == second:
             alike &= left[:, None] < right[None, :]
+        seen = np.bincount((100 * common[alike] + either[alike] // 100) // either[alike], minlength=101)
         links = np.zeros(len(names), np.int64)
         root = list(range(len(names)))
         forest: list[tuple[bytes, bytes]] = []
@@ -176,18 +215,45 @@ def _compared(similarity: float):
                 if a != b:
                     root[b] = a
                     forest.append((names[i], names[j]))
-        some = np.flatnonzero(links)
+        some, bins = np.flatnonzero(links), np.flatnonzero(seen)
         return pd.DataFrame(
             {
-                "a": [names[i] for i in some] + [a for a, _ in forest],
-                "b": [None] * len(some) + [b for _, b in forest],
-                "links": [*links[some].tolist(), *[0] * len(forest)],
+                "a": [names[i] for i in some] + [a for a, _ in forest] + [None] * len(bins),
+                "b": [None] * len(some) + [b for _, b in forest] + [None] * len(bins),
+                "links": [*links[some].tolist(), *[0] * len(forest), *seen[bins].tolist()],
+                "hundredths": [-1] * (len(some) + len(forest)) + bins.tolist(),
             }
         )
 
     return run
 
 
+def _found(met: DataFrame, sets: DataFrame, key: Column, similarity: float) -> DataFrame:
+    """The links among the texts that share a value of `key`: rows of _compared."""
+    keyed = met.select("id", key.alias("key"))
+    nodes = cut(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub"), "nodes")
+    ties = cut(keyed.join(nodes, "key"), "ties")
+    hubs = ties.groupBy("id").agg(F.min("hub").alias("hub"))
+
+    # long texts fill blocks of their own, as two that differ much in length aren't alike
+    bits = F.least(F.greatest(F.lit(SHINGLES) - F.ceil(F.log2(F.col("n"))), F.lit(0)), F.lit(BLOCK)).cast("int").alias("bits")
+    order = ["bits", "hub", "id"]
+    dealt = hubs.join(sets.select("id", bits).distinct(), "id").repartitionByRange(*order).sortWithinPartitions(*order)
+    block = F.shiftleft(F.call_function("shiftright", F.col("_at"), F.col("bits")), 4) + F.col("bits")
+    placed = cut(dealt.withColumn("_at", F.monotonically_increasing_id()).select("id", block.alias("block")), "placed")
+
+    # blocks between which a node lies
+    spans = cut(ties.join(placed, "id").select("key", "block").distinct(), "spans")
+    across = spans.select("key", F.col("block").alias("first")).join(spans.select("key", F.col("block").alias("second")), "key").where("first < second")
+    own = placed.select(F.col("block").alias("first"), F.col("block").alias("second"))
+    pairs = cut(across.select("first", "second").unionByName(own).distinct(), "pairs")
+    sides = pairs.select(F.col("first").alias("block"), "first", "second").unionByName(pairs.where("first <> second").select(F.col("second").alias("block"), "first", "second"))
+    spread = placed.join(sides, "block").join(sets.select("id", "name", "shingles"), "id").select("first", "second", "block", "name", "shingles")
+    found = cut(spread.groupBy("first", "second").applyInPandas(_compared(similarity), "a binary, b binary, links long, hundredths int"), "found")
+    discard(nodes, ties, placed, spans, pairs)
+    return found
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """One row per row of docs: doc_id, class_id, n_links, n_same.
 
@@ -196,43 +262,53 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     counts the other texts, different as sets, to which a document is linked, n_same the further
     rows of the same set. A text of fewer words than a shingle has, but not none, is one shingle;
     null, empty and wordless texts are linked to nothing and are their own class. A row without a
-    doc_id has the class of its text. A pair at the threshold is found with a chance of at least
-    `recall`, closer ones more surely; what is found is exact. Only doc_id and text are read.
+    doc_id has the class of its text. Prefixes are shortened until `recall` of the links in each band
+    of similarity should be found, at most to the depth at which any pair at the threshold is found
+    with that chance; what is found is exact. Only doc_id and text are read. Which texts are shingled
+    again is told by a bitmap of fixed size; when more than some millions meet, further texts are
+    shingled in vain, once.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    depth = depth_for(similarity, recall)
+    floor = depth_for(similarity, recall)
+    levels = min(LEVELS, DEPTH - floor)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = cut(source.mapInArrow(_signed(words, depth), "doc_id long, text_set binary, n int, nodes array<long>"), "signed")
-    texts = signed.where("text_set is not null").groupBy("text_set").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("nodes").alias("nodes"))
-    texts = cut(texts, "texts")
-
-    # nodes in which texts meet; each text is tied to the smallest it meets there. Texts go by a
-    # 64-bit hash here: two that share one would only be compared needlessly
-    leaves = texts.select(F.xxhash64("text_set").alias("id"), F.explode("nodes").alias("node"))
-    meets = leaves.groupBy("node").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("node", "hub")
-    ties = leaves.join(meets, "node").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    groups = cut(components(ties), "groups")
-
-    # blocks of a group, by the order of a hash of the text
-    sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
-    placed = groups.join(sizes, "root").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")).select(F.col("node").alias("id"), "root", "blocks", "block")
-    placed = cut(texts.select("text_set", "first_id", F.xxhash64("text_set").alias("id")).join(placed, "id").drop("id"), "placed")
-    wanted = spark.sparkContext.broadcast(bitmap(placed, F.coalesce("first_id", F.lit(-1))))
+    signed = cut(source.mapInArrow(_signed(words, floor, levels), "doc_id long, text_set binary, n int, nodes array<long>, labels array<long>"), "signed")
+    texts = signed.where("text_set is not null").groupBy("text_set").agg(*[F.min("doc_id").alias("first_id"), F.count("*").alias("rows")], *[F.first(c).alias(c) for c in ("n", "nodes", "labels")])
+    # a name orders texts by first_id, those without last: a class's smallest name has its class_id.
+    # Leaves go by a 64-bit hash; two texts that share one would only be compared needlessly
+    first = F.coalesce(F.hex(F.col("first_id").bitwiseXOR(F.lit(-1 << 63))), F.lit(""))
+    name = F.unhex(F.concat(F.when(F.col("first_id").isNull(), "01").otherwise("00"), F.lpad(first, 16, "0"), F.hex("text_set")))
+    texts = cut(texts.withColumns({"name": name, "id": F.xxhash64("text_set")}), "texts")
+
+    leaves = texts.select("id", F.explode(F.arrays_zip("nodes", "labels")).alias("leaf")).select("id", F.col("leaf.nodes").alias("node"), F.col("leaf.labels").alias("labels"))
+    shared = cut(leaves.groupBy("node").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("node"), "shared")
+    met = cut(leaves.join(shared, "node", "left_semi"), "met")
+    some = cut(met.select("id").distinct().join(texts.select("id", "text_set", "first_id", "name", "n"), "id"), "some")
+    wanted = spark.sparkContext.broadcast(bitmap(some, F.coalesce("first_id", F.lit(-1))))
     sets = source.mapInArrow(_shingled(words, wanted), "text_set binary, shingles binary")
-    sets = placed.join(sets, "text_set").dropDuplicates(["text_set"])
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("first"), F.greatest(i, F.col("block")).alias("second")))
-    spread = sets.withColumn("pair", F.explode(pairs)).select("root", "pair.first", "pair.second", "block", "text_set", "shingles")
-    found = spread.groupBy("root", "first", "second").applyInPandas(_compared(similarity), "a binary, b binary, links long")
-    found = cut(found, "found")
-    counts = found.where("b is null").groupBy(F.col("a").alias("text_set")).agg(F.sum("links").alias("n_links"))
-    classes = components(found.where("b is not null").select("a", "b"))
-
-    named = texts.join(classes.withColumnRenamed("node", "text_set"), "text_set", "left").join(counts, "text_set", "left")
-    named = named.withColumn("root", F.coalesce("root", "text_set"))
-    ids = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = cut(named.join(ids, "root").select("text_set", "class_id", (F.col("rows") - 1).alias("n_same"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    sets = cut(some.select("id", "text_set", "name", "n").join(sets, "text_set").dropDuplicates(["text_set"]).drop("text_set"), "sets")
+    discard(shared, some)
+
+    depth = floor + levels
+    while True:
+        prefix = F.shiftrightunsigned("labels", 16 * (floor + levels - depth)) if depth > floor else F.lit(0)
+        found = _found(met, sets, F.xxhash64("node", prefix), similarity)
+        seen = found.where("hundredths >= 0").groupBy("hundredths").agg(F.sum("links").alias("n")).collect()  # 101 rows at most
+        lower = shortened({r["hundredths"]: r["n"] for r in seen}, depth, floor, recall)
+        if lower == depth:
+            break
+        depth = lower
+        discard(found)
+    discard(met, sets)
+
+    counts = found.where("b is null and hundredths < 0").groupBy(F.col("a").alias("name")).agg(F.sum("links").alias("n_links"))
+    classes = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "name")
+    named = texts.select("text_set", "name", "rows").join(classes, "name", "left").join(counts, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    least = F.conv(F.hex(F.substring("root", 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-1 << 63))
+    class_id = F.when(F.hex(F.substring("root", 1, 1)) == "00", least).alias("class_id")
+    named = cut(named.select("text_set", class_id, (F.col("rows") - 1).alias("n_same"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    discard(texts, found)
     own = F.when(F.col("text_set").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     zero = F.lit(0).cast("long")
     return signed.select("doc_id", "text_set").join(named, "text_set", "left").select(

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import scratch, small_batches
+from .common import remove, scratch, small_batches
 
 #: Ids from which on a block is closed at the next document's end.
 BLOCK = 1 << 17
@@ -211,11 +211,6 @@ def write_tokens(docs: DataFrame, path: str, spec: str, end_id: int = 0) -> None
     remove(spark, held)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def _decoded(freq, with_ids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rans.Table(freq.value)

@@ -72,7 +72,7 @@ def corpus(rng, n):
 
 
 def test_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(nd, "BLOCK", 16)
+    monkeypatch.setattr(nd, "BLOCK", 4)
     texts = corpus(random.Random(6), 60)
     rows = list(enumerate(texts)) + [(None, texts[0]), (3, texts[3]), (None, None)]
     docs = spark.createDataFrame([(d, t, 1, "c") for d, t in rows], "doc_id long, text string, n int, class_id string")
@@ -88,6 +88,42 @@ def test_depth_reaches_recall():
         assert d == nd.DEPTH or 1 - (1 - s ** (d + 1)) ** nd.TREES < 0.999
 
 
+def test_prefixes_are_shortened_as_the_links_ask():
+    found = lambda s, d: 1 - (1 - s**d) ** nd.TREES
+    assert nd.shortened({}, 12, 8, 0.9995) == 12
+    assert nd.shortened({99: 50, 95: 7}, 12, 8, 0.9995) == 12  # close copies meet at any depth
+    assert nd.shortened({99: 10**9, 80: 1}, 12, 8, 0.9995) == 8  # a band counts by itself
+    assert nd.shortened({80: 1}, 12, 10, 0.9995) == 10
+    depth = nd.shortened({85: 1}, 12, 8, 0.9995)
+    assert found(0.85, depth) >= 0.9995 > found(0.85, depth + 1)
+
+
+def test_leaves_are_prefixes():
+    """Texts share a tree's node of depth d as often as its first d minima agree."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    other = list(base)
+    for _ in range(4):
+        other[rng.randrange(150)] = "new"
+    a, b = (nd.shingles([w.encode() for w in t], 5) for t in (base, other))
+    s = len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+    (n1, l1), (n2, l2) = nd.signature(a, 2, 4), nd.signature(b, 2, 4)
+    share = [(n1 == n2).mean(), *[((n1 == n2) & (l1 >> k == l2 >> k)).mean() for k in (48, 32, 16, 0)]]
+    assert share == sorted(share, reverse=True)
+    assert all(abs(x - s**d) < 0.25 for d, x in zip(range(2, 7), share, strict=True))
+
+
+def test_extremes(spark):
+    """Very long texts, ids at both ends of a long, repeated rows, classes without any doc_id."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    top, low = (1 << 63) - 1, -(1 << 63)
+    rows = [(top, long), (low, long + " end"), (5, long[: len(long) // 2]), (None, "a b c d e f g h"), (None, "a b c d e f g h"), (0, "p q"), (0, "p q"), (0, "r s"), (-3, "P; q")]
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [(top, low, 1, 0), (low, low, 1, 0), (5, 5, 0, 0), (None, None, 0, 1), (None, None, 0, 1), (0, -3, 0, 2), (0, -3, 0, 2), (0, 0, 0, 0), (-3, -3, 0, 2)], key=str
+    )
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(70)]
