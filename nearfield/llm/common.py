@@ -89,21 +89,17 @@ def in_bitmap(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Add each row's 0-based global position without gathering the rows in one task.
 
-    Rows are range-partitioned and written once; only one count per partition reaches
+    Rows are range-partitioned, sorted and written once; only one count per partition reaches
     the driver. Ties in `order` take any order.
     """
     spark = df.sparkSession
-    keyed = df.withColumns({f"_k{i}": c for i, c in enumerate(order)})
     keys = [f"_k{i}" for i in range(len(order))]
-    from pyspark.sql import Window
-
-    dealt = keyed.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(*keys)
-    placed = cut(dealt.withColumn("_at", F.row_number().over(w).cast("long") - 1).drop(*keys), "ranked")
-    sizes = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    dealt = df.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
+    placed = cut(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part, at = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND((1 << 33) - 1)
     before, offsets = 0, []
-    for part, n in sizes:
-        offsets.append((part, before))
-        before += n
+    for row in sorted(placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        offsets.append((row["part"], before))
+        before += row["n"]
     base = spark.createDataFrame(offsets, "_part int, _before long")
-    return placed.join(F.broadcast(base), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_before", "_at")
+    return placed.join(F.broadcast(base), part == base["_part"]).withColumn(name, F.col("_before") + at).drop("_part", "_before", "_at")

@@ -8,8 +8,8 @@ that depth, band by band; while it is below the target, matched prefixes are sho
 that should reach it, at most to the one that does so for any pair at the threshold.
 
 Texts are compared in blocks of bounded size, laid out so that those that meet lie together, and
-two blocks only if some node has texts of both: a group of any size is spread over tasks, a long
-chain of groups isn't compared all with all, and no list of pairs of texts is ever made. A
+with those of another block only if a node has texts of both: a group of any size is spread over
+tasks, a long chain of groups isn't compared all with all, and no list of pairs of texts is ever made. A
 comparison yields the links it found per text and a spanning forest of them. Components of these
 are the classes.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, discard, in_bitmap, small_batches
+from .common import bitmap, cut, discard, in_bitmap, ranked, small_batches
 from .words import mix, shingles, words_of
 
 #: Words of a shingle, and the similarity from which texts are linked.
@@ -38,6 +38,8 @@ RECALL = 0.9995
 BAND = 5
 #: A block has 2**BLOCK texts, or fewer if they are long: about 2**SHINGLES shingles at most, one text at least.
 BLOCK, SHINGLES = 8, 19
+#: Blocks whose texts meet in a node from which on the blocks are compared as wholes.
+WIDE = 4
 #: Shingles of a block that are laid out as bits at a time.
 CODES = 1 << 15
 
@@ -236,21 +238,25 @@ def _found(met: DataFrame, sets: DataFrame, key: Column, similarity: float) -> D
     hubs = ties.groupBy("id").agg(F.min("hub").alias("hub"))
 
     # long texts fill blocks of their own, as two that differ much in length aren't alike
-    bits = F.least(F.greatest(F.lit(SHINGLES) - F.ceil(F.log2(F.col("n"))), F.lit(0)), F.lit(BLOCK)).cast("int").alias("bits")
-    order = ["bits", "hub", "id"]
-    dealt = hubs.join(sets.select("id", bits).distinct(), "id").repartitionByRange(*order).sortWithinPartitions(*order)
-    block = F.shiftleft(F.call_function("shiftright", F.col("_at"), F.col("bits")), 4) + F.col("bits")
-    placed = cut(dealt.withColumn("_at", F.monotonically_increasing_id()).select("id", block.alias("block")), "placed")
-
-    # blocks between which a node lies
-    spans = cut(ties.join(placed, "id").select("key", "block").distinct(), "spans")
-    across = spans.select("key", F.col("block").alias("first")).join(spans.select("key", F.col("block").alias("second")), "key").where("first < second")
-    own = placed.select(F.col("block").alias("first"), F.col("block").alias("second"))
-    pairs = cut(across.select("first", "second").unionByName(own).distinct(), "pairs")
-    sides = pairs.select(F.col("first").alias("block"), "first", "second").unionByName(pairs.where("first <> second").select(F.col("second").alias("block"), "first", "second"))
-    spread = placed.join(sides, "block").join(sets.select("id", "name", "shingles"), "id").select("first", "second", "block", "name", "shingles")
+    bits = F.least(F.greatest(F.lit(SHINGLES) - F.ceil(F.log2(F.col("n"))), F.lit(0)), F.lit(BLOCK)).cast("int")
+    dealt = ranked(hubs.join(sets.select("id", bits.alias("bits")).distinct(), "id"), [F.col("bits"), F.col("hub"), F.col("id")])
+    block = F.shiftleft(F.call_function("shiftright", F.col("rank"), F.col("bits")), 4) + F.col("bits")
+    placed = cut(dealt.select("id", block.alias("block")), "placed")
+
+    # blocks between which a node lies: a text goes where its own nodes lead, or, if a node has
+    # texts of many blocks, with its whole block
+    at = cut(ties.join(placed, "id").select("key", "id", "block"), "at")
+    spans = cut(at.select("key", F.col("block").alias("other")).distinct(), "spans")
+    widths = cut(spans.groupBy("key").agg(F.count("*").alias("width")).where("width > 1"), "widths")
+    spans = cut(spans.join(widths, "key"), "across")
+    few = at.join(spans.where(F.col("width") <= WIDE), "key").where("block <> other").select("id", "block", "other")
+    wide = spans.where(F.col("width") > WIDE).select("key", "other")
+    many = wide.withColumnRenamed("other", "block").join(wide, "key").where("block <> other").select("block", "other").distinct()
+    sent = placed.withColumn("other", F.col("block")).unionByName(few).unionByName(placed.join(many, "block")).distinct()
+    sent = sent.select("id", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    spread = sent.join(sets.select("id", "name", "shingles"), "id").select("first", "second", "block", "name", "shingles")
     found = cut(spread.groupBy("first", "second").applyInPandas(_compared(similarity), "a binary, b binary, links long, hundredths int"), "found")
-    discard(nodes, ties, placed, spans, pairs)
+    discard(nodes, ties, placed, at, spans, widths)
     return found
 
 
