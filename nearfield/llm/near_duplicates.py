@@ -38,6 +38,8 @@ RECALL = 0.9995
 BAND = 5
 #: A block has 2**BLOCK texts, or fewer if they are long: about 2**SHINGLES shingles at most, one text at least.
 BLOCK, SHINGLES = 8, 19
+#: Rounds in which hubs pass on to texts that meet; they serve the layout alone.
+ROUNDS = 2
 #: Blocks whose texts meet in a node from which on the blocks are compared as wholes.
 WIDE = 4
 #: Shingles of a block that are laid out as bits at a time.
@@ -235,7 +237,12 @@ def _found(met: DataFrame, sets: DataFrame, key: Column, similarity: float) -> D
     keyed = met.select("id", key.alias("key"))
     nodes = cut(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub"), "nodes")
     ties = cut(keyed.join(nodes, "key"), "ties")
-    hubs = ties.groupBy("id").agg(F.min("hub").alias("hub"))
+    hubs = cut(ties.groupBy("id").agg(F.min("hub").alias("hub")), "hubs")
+    for _ in range(ROUNDS):  # texts that meet by way of others get one hub, and so lie together
+        low = cut(ties.select("id", "key").join(hubs, "id").groupBy("key").agg(F.min("hub").alias("hub")), "low")
+        fewer = cut(ties.select("id", "key").join(low, "key").groupBy("id").agg(F.min("hub").alias("hub")), "hubs")
+        discard(hubs, low)
+        hubs = fewer
 
     # long texts fill blocks of their own, as two that differ much in length aren't alike
     bits = F.least(F.greatest(F.lit(SHINGLES) - F.ceil(F.log2(F.col("n"))), F.lit(0)), F.lit(BLOCK)).cast("int")
@@ -256,7 +263,7 @@ def _found(met: DataFrame, sets: DataFrame, key: Column, similarity: float) -> D
     sent = sent.select("id", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     spread = sent.join(sets.select("id", "name", "shingles"), "id").select("first", "second", "block", "name", "shingles")
     found = cut(spread.groupBy("first", "second").applyInPandas(_compared(similarity), "a binary, b binary, links long, hundredths int"), "found")
-    discard(nodes, ties, placed, at, spans, widths)
+    discard(nodes, ties, hubs, placed, at, spans, widths)
     return found
 
 
