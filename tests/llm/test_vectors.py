@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from nearfield.llm import vectors
 from nearfield.llm.vectors import nearest, scan
 
 
@@ -29,7 +30,7 @@ def test_against_brute_force(spark):
     rows += [rows[10], (10, [9.0] * 8), (5, rows[5][1])]
     table = spark.createDataFrame([(i, v, 1, "s") for i, v in rows], "vec_id long, embedding array<float>, rank int, score string")
     got = {}
-    for r in sorted(nearest(table, every=20, sample=700).collect()):
+    for r in sorted(nearest(table, every=20, sample=8).collect()):
         assert r["rank"] == len(got.setdefault(r["query_id"], [])) + 1
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     want = brute(rows, 10, 20)
@@ -52,6 +53,39 @@ def test_few_and_none(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in sorted(rows)] == [(0, 1, 2, 0.0), (0, 2, 3, 0.0), (0, 3, 1, 1.414214)]
 
 
+def test_recall_of_the_scan_alone(spark, monkeypatch):
+    """The sample, whose rows must come from their lists like any, is a small share of the table."""
+    monkeypatch.setattr(vectors, "LEAST", 100)
+    monkeypatch.setattr(vectors, "PART", 40)
+    monkeypatch.setattr(vectors, "QUERIES", 7)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 32))
+    x = np.float32(centres[rng.integers(0, 40, 4000)] + 0.5 * rng.normal(size=(4000, 32)))
+    got = {}
+    for r in nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), every=40, sample=4).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(got) == 100
+    hits = 0
+    for q, found in got.items():
+        d = ((np.float64(x) - np.float64(x[q])) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(found & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 950, hits
+    monkeypatch.setattr(vectors, "_scanned", lambda held, k: lambda key, rows, asked: rows.iloc[:0].assign(query_id=0, score=0.0)[["query_id", "vec_id", "score"]])
+    assert nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:50])], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_bounds_are_drawn_in():
+    rng = np.random.default_rng(2)
+    x, z, r = rng.normal(size=(2000, 24)), rng.normal(size=(9, 24)), np.linalg.qr(rng.normal(size=(24, 24)))[0]
+    q, c, d = vectors.search(np.arange(2000), x, np.arange(9), z, np.full(9, np.inf), 10, r)
+    true = np.sqrt(((z[:, None] - x[None]) ** 2).sum(axis=2))
+    true[np.arange(9), np.arange(9)] = np.inf
+    found = {(i, j) for i, j in zip(q.tolist(), c.tolist(), strict=True)}
+    want = {(i, j) for i in range(9) for j in np.argsort(true[i])[:10].tolist()}
+    assert len(found) == 90 and len(found & want) >= 85 and np.allclose(d, true[q, c])
+
+
 def test_scan_drops_far_ones_only():
     rng = np.random.default_rng(1)
     x, q = rng.normal(size=(3000, 64)), rng.normal(size=(20, 64))
@@ -83,7 +117,7 @@ def test_copies_outside_the_sample(spark):
     x[:1000] = np.repeat(x[:8], 125, axis=0)
     rows = [(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)]
     got = {}
-    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=10, sample=600).collect():
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=10, sample=1).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     right = of = 0
     for group in ids[:1000].reshape(8, 125):
