@@ -1,78 +1,102 @@
 """Benchmark decontamination by winnowing.
 
 Every run of GRAM words is hashed, and of each WINDOW consecutive hashes the smallest is
-kept. A span of GRAM + WINDOW - 1 = 8 words therefore always yields the same fingerprint
-in a benchmark item and in a document, so equal spans of eight words or more are never
-missed. Fingerprints of documents are first held against a bitmap of fixed size made of
-all benchmark fingerprints; the survivors are joined with the benchmark's on the
-fingerprint and extended to the whole window's words, which must be equal.
+selected, the first of equal ones; each selected run is a fingerprint, kept once with its place. A
+span of GRAM + WINDOW - 1 = 8 words selects the same run wherever it stands, so that equal spans
+of eight words or more always share a fingerprint. Documents' fingerprints are first held against
+bitmaps of fixed size made of all the benchmark's; the survivors, distinct ones once, are joined
+with the benchmark's and extended to both sides, word by word, as far as a window of eight can reach.
+Where eight words or more agree the stretch is hit.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import bitmap, cut, in_bitmap, small_batches
+from .common import bitmap, cut, discard, in_bitmap, small_batches
 from .words import kgrams, words_of
 
 #: Words of a window, words of a hashed run and hashes of which the smallest is kept.
 SPAN, GRAM, WINDOW = 8, 5, 4
-#: Copies of each benchmark window, over which equal windows of documents are dealt.
-SALTS = 16
+#: Words by which a window can exceed a run.
+REACH = SPAN - GRAM
 
-_HIT = pa.struct([("fp", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
-_DOC = "uid long, doc_id long, n_words long, hits array<struct<fp:long,at:int,n:int,words:binary>>"
+_PRINT = pa.struct(
+    [("fp", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("run", pa.binary()), ("before", pa.list_(pa.binary())), ("after", pa.list_(pa.binary())), ("context", pa.binary())]
+)
+_DOC = "uid long, doc_id long, n_words long, prints array<struct<fp:long,at:int,n:int,run:binary,before:array<binary>,after:array<binary>,context:binary>>"
 
 
-def fingerprints(words: list[bytes], span: int) -> np.ndarray:
-    """The winnowed fingerprint of every window of `span` words, in order."""
-    if span < SPAN:  # a whole item shorter than a window: each run is its own fingerprint
-        return kgrams(words, span)
+def selected(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the runs that winnowing keeps; none below SPAN words."""
     grams = kgrams(words, GRAM)
     if len(grams) < WINDOW:
-        return np.empty(0, np.uint64)
-    return np.lib.stride_tricks.sliding_window_view(grams, WINDOW).min(axis=1)
-
-
-def _rows(uid: list, ids: pa.Array, counts: list[int], hits: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(uid, pa.int64()), ids.cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(_HIT))],
-        ["uid", "doc_id", "n_words", "hits"],
-    )
-
-
-def _scan(spans, known):
-    """A function for mapInArrow: windows whose fingerprint is in `known` (None: all)."""
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    least = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(axis=1) + np.arange(len(grams) - WINDOW + 1)
+    at = least[np.append(True, least[1:] != least[:-1])]  # places never fall back
+    return at, grams[at]
+
+
+def _print(words: list[bytes], fp: int, at: int, n: int) -> dict:
+    """A fingerprint with the words around it, the nearest first; n tells whole windows from shorter items."""
+    size, reach = (GRAM, REACH) if n == SPAN else (n, 0)
+    run, before, after = b" ".join(words[at : at + size]), words[max(0, at - reach) : at][::-1], words[at + size : at + size + reach]
+    context = hashlib.blake2b(b"%d %d %b\n%b\n%b" % (n, fp, run, b" ".join(before), b" ".join(after)), digest_size=16).digest()
+    return {"fp": fp, "at": at, "n": n, "run": run, "before": before, "after": after, "context": context}
+
+
+def _scan(spans, known, windows):
+    """A function for mapInArrow: fingerprints that are in `known` and near a window in `windows` (None: all)."""
+
+    def prints(words: list[bytes], span: int) -> Iterator[dict]:
+        at, fps = selected(words) if span == SPAN else (np.arange(max(0, len(words) - span + 1)), kgrams(words, span))
+        if known is not None and len(fps):
+            hit = in_bitmap(known.value, fps)
+            at, fps = at[hit], fps[hit]
+            if span == SPAN and len(fps):
+                upto = np.append(0, np.cumsum(in_bitmap(windows.value, kgrams(words, SPAN))))
+                near = upto[np.minimum(at + 1, len(upto) - 1)] > upto[np.maximum(at - REACH, 0)]
+                at, fps = at[near], fps[near]
+        for i, fp in zip(at.tolist(), fps.view(np.int64).tolist(), strict=True):
+            yield _print(words, fp, i, span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value if known is not None else None
-        at = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        uid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
-            uid, counts, hits = [], [], []
+            counts, found = [], []
             for text in batch.column(1):
                 words = words_of(text.as_py())
-                found = []
-                for span in spans if spans is not None else [min(SPAN, len(words))] if words else []:
-                    fps = fingerprints(words, span)
-                    take = np.flatnonzero(in_bitmap(table, fps)) if table is not None else np.arange(len(fps))
-                    for i, fp in zip(take.tolist(), fps[take].view(np.int64).tolist(), strict=True):
-                        found.append({"fp": fp, "at": i, "n": span, "words": b" ".join(words[i : i + span])})
-                uid.append(at)
+                own = spans if spans is not None else [min(SPAN, len(words))] if words else []
                 counts.append(len(words))
-                hits.append(found)
-                at += 1
-            yield _rows(uid, batch.column(0), counts, hits)
+                found.append([p for span in own for p in prints(words, span)])
+            uids = np.arange(uid, uid + batch.num_rows)
+            uid += batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(uids), batch.column(0), pa.array(counts, pa.int64()), pa.array(found, pa.list_(_PRINT))], ["uid", "doc_id", "n_words", "prints"])
 
     return run
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        each = [np.empty(0, np.uint64), *(kgrams(words_of(text.as_py()), SPAN) for text in batch.column(1))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).view(np.int64))], ["w"])
+
+
+def _agreeing(a: str, b: str) -> Column:
+    """How many words two arrays agree in from the start on, REACH at most."""
+    out = F.lit(0)
+    for i in range(REACH - 1, -1, -1):
+        out = F.when(F.get(a, F.lit(i)) == F.get(b, F.lit(i)), 1 + out).otherwise(0)
+    return out
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_long_items.
 
@@ -84,38 +108,46 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) ->
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    held = items.mapInArrow(_scan(None, None), _DOC).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
-    windows = cut(held.groupBy("fp", "n", "words").agg(F.collect_set("doc_id").alias("items")), "windows")
-    spans = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most SPAN values
-    known = spark.sparkContext.broadcast(bitmap(windows, F.col("fp")))
+    held = cut(items.mapInArrow(_scan(None, None, None), _DOC).select(F.col("doc_id").alias("item"), F.explode("prints").alias("p")).select("item", "p.*"), "held")
+    entries = cut(held.groupBy("context").agg(*[F.first(c).alias(c) for c in ("fp", "n", "run", "before", "after")]), "entries")
+    spans = sorted(r["n"] for r in entries.select("n").distinct().collect())  # at most SPAN values
+    known = spark.sparkContext.broadcast(bitmap(entries, F.col("fp")))
+    windows = spark.sparkContext.broadcast(bitmap(items.mapInArrow(_windows, "w long"), F.col("w")))
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    seen = cut(source.mapInArrow(_scan(spans, known), _DOC), "windowed")
-
-    hits = seen.where(F.size("hits") > 0).select("uid", F.explode("hits").alias("h")).select("uid", "h.*")
-    hits = hits.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int"))
-    salted = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = hits.join(salted, ["fp", "n", "words", "salt"]).select("uid", "at", "n", "items")
+    seen = cut(source.mapInArrow(_scan(spans, known, windows), _DOC), "scanned")
+
+    # each distinct context of a fingerprint is held against the benchmark's once, however many documents have it
+    prints = seen.where(F.size("prints") > 0).select("uid", F.explode("prints").alias("p")).select("uid", "p.*")
+    asked = cut(prints.groupBy("context").agg(*[F.first(c).alias(c) for c in ("fp", "n", "run", "before", "after")]), "asked")
+    there = entries.select("fp", "n", "run", F.col("context").alias("entry"), F.col("before").alias("b"), F.col("after").alias("a"))
+    both = asked.join(there, ["fp", "n", "run"]).select("context", "entry", "n", _agreeing("before", "b").alias("back"), _agreeing("after", "a").alias("on"))
+    size = F.when(F.col("n") == SPAN, GRAM).otherwise(F.col("n"))
+    met = cut(both.where((F.col("n") < SPAN) | (F.col("back") + F.col("on") >= REACH)).select("context", "entry", "back", (F.col("on") + size).alias("on")), "met")
+    hits = prints.select("uid", "at", "context").join(met, "context").select("uid", "entry", (F.col("at") - F.col("back")).alias("s"), (F.col("at") + F.col("on")).alias("e"))
     covered = F.expr(
-        "aggregate(array_sort(collect_set(struct(at as s, at + n as e))), struct(0L as n, 0 as upto),"
+        "aggregate(array_sort(collect_set(struct(s, e))), struct(0L as n, 0 as upto),"
         " (a, x) -> struct(a.n + greatest(0, x.e - greatest(x.s, a.upto)) as n, greatest(a.upto, x.e) as upto)).n"
     )
-    per = found.groupBy("uid").agg(
-        covered.alias("n_hit"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("n") == SPAN, F.col("items")))))).cast("long").alias("n_long_items"),
-    )
-    names = F.array_join(F.array_sort(F.transform(F.coalesce("items", F.array().cast(T.ArrayType(T.LongType()))), lambda x: x.cast("string"))), ",")
-    n_items = F.coalesce(F.size("items").cast("long"), F.lit(0).cast("long"))
-    n_items = F.when(F.col("items").isNull(), F.lit(0).cast("long")).otherwise(n_items)
-    some = seen.where(F.size("hits") > 0).select("uid", "doc_id", "n_words").join(per, "uid", "left")
-    none = seen.where(F.size("hits") == 0).select("uid", "doc_id", "n_words")
-    whole = some.unionByName(none, allowMissingColumns=True)
-    return whole.select(
+    per = hits.groupBy("uid").agg(covered.alias("n_hit"), F.array_sort(F.collect_set("entry")).alias("entries"))
+    per = cut(per.withColumn("group", F.sha2(F.array_join(F.transform("entries", F.hex), ","), 256)), "per")
+
+    # items are gathered once for all documents that hit the same entries
+    members = held.select(F.col("context").alias("entry"), "item", "n").distinct()
+    groups = per.groupBy("group").agg(F.first("entries").alias("entries")).select("group", F.explode("entries").alias("entry")).join(members, "entry")
+    groups = groups.groupBy("group").agg(F.collect_set("item").alias("items"), F.count_distinct(F.when(F.col("n") == SPAN, F.col("item"))).alias("n_long_items"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    groups = cut(groups.select("group", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), "n_long_items"), "groups")
+    discard(asked, entries, met)
+    zero = F.lit(0).cast("long")
+    kept = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "n_long_items"]
+    some = seen.where(F.size("prints") > 0).select("uid", "doc_id", "n_words").join(per.join(groups, "group"), "uid", "left").select(*kept)
+    none = seen.where(F.size("prints") == 0).select("doc_id", "n_words")
+    return some.unionByName(none, allowMissingColumns=True).select(
         "doc_id",
         "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        n_items.alias("n_items"),
-        F.sha2(names.cast("binary"), 256).alias("items_sha256"),
-        (n_items >= min_items).alias("contaminated"),
-        F.coalesce("n_long_items", F.lit(0)).cast("long").alias("n_long_items"),
+        F.coalesce("n_hit", zero).cast("long").alias("n_hit"),
+        F.coalesce("n_items", zero).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
+        (F.coalesce("n_items", zero) >= min_items).alias("contaminated"),
+        F.coalesce("n_long_items", zero).alias("n_long_items"),
     )

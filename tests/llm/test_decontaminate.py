@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from nearfield.llm.decontaminate import decontaminate
+from nearfield.llm.decontaminate import decontaminate, selected
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -50,3 +50,24 @@ def test_empty_tables(spark):
     rows = decontaminate(d, b).collect()
     assert len(rows) == 3 and not any(r["n_hit"] or r["contaminated"] for r in rows)
     assert decontaminate(d.where("false"), b).count() == 0
+
+
+def test_winnowing_meets_every_window():
+    """Each window of eight words holds a selected run, the same one wherever it stands."""
+    rng = random.Random(4)
+    for _ in range(50):
+        text = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(8, 60))]
+        kept = set(selected(text)[0].tolist())
+        for i in range(len(text) - 7):
+            (least,) = {p for p in selected(text[i : i + 8])[0].tolist()}
+            assert i + least in kept
+    assert len(selected([b"w%d" % i for i in range(4000)])[0]) < 2000  # fewer fingerprints than windows
+    assert not len(selected([b"a"] * 7)[0])
+
+
+def test_one_passage_in_all_items_and_a_long_text(spark):
+    line = " ".join(f"w{i}" for i in range(9))
+    b = spark.createDataFrame([(i, f"x{i} y{i} {line} z{i}") for i in range(30)], "item_id long, text string")
+    texts = [line, f"q {line}", " ".join(line.split()[:8]), " ".join(line.split()[:7]), f"y3 {line} z3", "far " * 40_000 + line]
+    got = {r["doc_id"]: r for r in decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b).collect()}
+    assert [(got[i]["n_hit"], got[i]["n_items"]) for i in range(6)] == [(9, 30), (9, 30), (8, 30), (0, 0), (11, 30), (9, 30)]
