@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import cut, ranked, small_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words that the dynamic program spends at most; it is exact below.
+#: Words that are kept back for the dynamic program; a budget of no more is fitted exactly.
 BUDGET = 1 << 16
 #: Bits of a hash digit, and digits after which the few documents left are ordered.
 DIGIT, DIGITS = 8, 3
@@ -32,26 +32,21 @@ def size_of(text: Column) -> Column:
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
     """How many documents of each length to take, so that their words come nearest to budget from below.
 
-    Exact if the budget left after the proportional part is at most BUDGET.
+    A budget of at most BUDGET words is spent by the program alone: no choice comes nearer. Of a larger one
+    BUDGET words are kept back for the program, which spends them as exactly as the documents that the
+    proportional part leaves allow.
     """
     order = np.argsort(lengths, kind="stable")
     out = np.zeros(len(lengths), np.int64)
     total = float((lengths * counts).sum())
-    share = min(1.0, budget / total) if total else 0.0
+    share = min(1.0, max(0.0, budget - BUDGET) / total) if total else 0.0
     wanted = spent = 0
     for i in order:
         if lengths[i] > 0:
             wanted += share * int(lengths[i]) * int(counts[i])
             out[i] = min(int(counts[i]), max(0, int((wanted - spent) // int(lengths[i]))))
             spent += int(out[i]) * int(lengths[i])
-    left = int(budget) - spent
-    spare = counts - out
-    for i in order[::-1]:  # down to what the program can hold
-        if left <= BUDGET:
-            break
-        more = min(int(spare[i]), left // int(lengths[i])) if lengths[i] > 0 else 0
-        out[i] += more
-        left -= more * int(lengths[i])
+    left = min(int(budget), int(total)) - spent  # less than BUDGET and the longest document together
     if left <= 0:
         return out
     spare = counts - out
