@@ -10,9 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of a digest on which expressions and rules are joined.
 SHORT = 8
+#: Between host and path in a digest; neither can hold it, as host and path are parted at a '/'.
+BETWEEN = "\x00"
 
 
 def parts(url):
@@ -29,7 +33,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     ones the longer host, then 'block'. Without a rule, rule is null and verdict is
     `default`. Null or malformed URLs have an empty host and path, which only rules with an
     empty host and path fit. Rules with a null host, path or verdict don't count. Repeated
-    pages keep a row each. Only page_id and url are read.
+    pages keep a row each. Only page_id and url are read. Of a page only its expressions that a rule
+    fits are gathered; a short prefix that many share is split by Spark, both sides being shuffled.
     """
     rules = rules.where("host is not null and path is not null and verdict is not null").select(
         F.translate("host", _UPPER, _LOWER).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")
@@ -41,11 +46,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
         F.concat("r_host", "r_path").alias("rule"),
         "r_verdict",
         F.length("r_host").alias("host_length"),
-        F.sha2(F.concat("r_host", "r_path"), 256).alias("r_digest"),
+        F.sha2(F.concat("r_host", F.lit(BETWEEN), "r_path"), 256).alias("r_digest"),
     ).withColumn("short", F.substring("r_digest", 1, SHORT))
 
     host, path = parts(F.col("url").cast("string"))
-    rows = pages.select(F.monotonically_increasing_id().alias("uid"), "page_id", host.alias("host"), path.alias("path"))
+    rows = cut(pages.select(F.monotonically_increasing_id().alias("uid"), "page_id", host.alias("host"), path.alias("path")), "urls")
     rows = rows.withColumn("labels", F.split("host", r"\.", -1))
     ints = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<int>")
     suffixes = F.transform(
@@ -53,15 +58,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
         lambda k: F.array_join(F.slice("labels", F.size("labels") - k + 1, k), "."),
     )
     starts = F.transform(F.filter(ints(lengths), lambda k: k <= F.length("path")), lambda k: F.expr("path").substr(F.lit(1), k))
-    digests = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.sha2(F.concat(s, p), 256))))
-    spread = rows.select("uid", "page_id", "host", "path", F.explode_outer(digests).alias("digest"))
-    spread = spread.withColumn("short", F.substring("digest", 1, SHORT))
-    joined = spread.join(held, "short", "left").withColumn("fits", F.col("digest") == F.col("r_digest"))
-    best = F.max(
-        F.when(F.col("fits"), F.struct(F.length("rule").alias("n"), "host_length", (F.col("r_verdict") == "block").alias("b"), "rule", "r_verdict"))
-    )
-    return (
-        joined.groupBy("uid", "page_id", "host", "path")
-        .agg(best.alias("best"))
-        .select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
-    )
+    digests = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.sha2(F.concat(s, F.lit(BETWEEN), p), 256))))
+    rows = rows.select("uid", "page_id", "host", "path", digests.alias("digests"))
+    spread = rows.select("uid", F.explode("digests").alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
+    fits = spread.join(held, "short").where("digest = r_digest")
+    best = F.max(F.struct(F.length("rule").alias("n"), "host_length", (F.col("r_verdict") == "block").alias("b"), "rule", "r_verdict"))
+    best = fits.groupBy("uid").agg(best.alias("best"))
+    return rows.join(best, "uid", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))

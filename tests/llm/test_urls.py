@@ -34,3 +34,17 @@ def test_no_rules_and_ties(spark):
     assert filter_urls(pages, spark.createDataFrame([], kind), "block").first()["verdict"] == "block"
     rules = spark.createDataFrame([("b", "/c", "allow"), ("b", "/c", "block"), ("b", "/cc", "allow"), ("a.b", "/", "block"), (None, "/", "block")], kind)
     assert tuple(filter_urls(pages, rules).first())[3:] == ("a.b/", "block")
+
+
+def test_host_and_path_are_told_apart(spark):
+    kind = "host string, path string, verdict string"
+    rules = spark.createDataFrame([("example", ".com", "block"), ("x.y", "", "allow")], kind)
+    pages = spark.createDataFrame([(1, "http://example.com"), (2, "http://example.com/"), (3, "http://x.y")], "page_id long, url string")
+    assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in filter_urls(pages, rules).collect()) == [(1, None, "allow"), (2, None, "allow"), (3, "x.y", "allow")]
+
+
+def test_a_very_long_url(spark):
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    url = "http://" + "a." * 20_000 + "example.com/en/" + "x/" * 50_000
+    row = filter_urls(spark.createDataFrame([(1, url)], "page_id long, url string"), rules).first()
+    assert (row["rule"], row["verdict"], len(row["host"])) == ("example.com/en/", "block", 40_011)
