@@ -24,6 +24,8 @@ from .words import distinct, hashes, words_of
 SAMPLE = 6_000
 #: Slots of hashed words and word beginnings.
 SLOTS = 1 << 18
+#: Slots of a labelled document that are fitted on at most, the same ones of all documents first; others are scored with all.
+FITTED = 1 << 12
 #: Bytes of a word's beginning.
 BEGIN = 4
 #: Strongest words of a text that are weighed one by one.
@@ -139,10 +141,17 @@ def fit(docs: Labelled, quality: np.ndarray, toxic: np.ndarray) -> tuple[Model,
     return (Model(docs, quality == 0), Model(docs, toxic == 1)) if len(docs.style) else None
 
 
+def _bounded(slots: np.ndarray) -> np.ndarray:
+    """At most FITTED slots, in an order that is the same for all documents."""
+    if len(slots) <= FITTED:
+        return slots
+    return np.sort(slots[np.argsort(slots * 0x9E3779B1 & 0xFFFFFFFF, kind="stable")[:FITTED]])
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = [features(t.as_py() or "") for t in batch.column(3)]
-        kept = [pa.array([s.tolist() for s, _ in made], pa.list_(pa.float64())), pa.array([k.astype("<i4").tobytes() for _, k in made], pa.binary())]
+        kept = [pa.array([s.tolist() for s, _ in made], pa.list_(pa.float64())), pa.array([_bounded(k).astype("<i4").tobytes() for _, k in made], pa.binary())]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *kept], ["doc_id", "quality", "toxic", "style", "slots"])
 
 
@@ -198,7 +207,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     says whether the last is at least `threshold`. Null and empty texts are judged as texts of no words.
     Labels with a null in any column don't count; what isn't labelled in both ways, good and bad, is never held against a document. Of a
     repeated doc_id each row gets its own result. At most `sample` labelled documents are fitted
-    on, the smallest by hash of doc_id; everything else covers all rows. With `key`, a long column
+    on, the smallest by hash of doc_id, with at most FITTED slots of words each, so that what the driver
+    holds is bounded in bytes; everything else covers all rows. If a doc_id has several labels, each counts. With `key`, a long column
     of docs, results bear that column in place of doc_id; labels are still found by doc_id.
     """
     spark = docs.sparkSession

@@ -3,6 +3,9 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+
+from nearfield.llm import quality
 from nearfield.llm.quality import classify
 
 RNG = random.Random(9)
@@ -54,6 +57,34 @@ def test_held_out_accuracy(spark):
         assert abs(want - r["p_bad"]) < 1e-6 and r["rejected"] == (r["p_bad"] >= 0.5)
 
 
+def test_what_is_fitted_is_bounded():
+    few, many = np.arange(10), np.arange(0, 200_000, 2)
+    assert quality._bounded(few).tolist() == few.tolist()
+    kept = quality._bounded(many)
+    assert len(kept) == quality.FITTED and (np.diff(kept) > 0).all()
+    other = quality._bounded(np.arange(200_000))  # shared slots that stay in the larger set stay in the smaller
+    assert set(other.tolist()) & set(many.tolist()) <= set(kept.tolist())
+
+
+def test_strengths_by_moments(spark):
+    """Groups that differ as chance would have it are shrunk all the way, others little."""
+    frame = lambda rows: spark.createDataFrame(rows, "n long, bad double")
+    rows = [(100, 90.0), (100, 10.0), (50, 5.0)]
+    n, level = 250, 105 / 250
+    ss, nn = sum(m * (b / m - level) ** 2 for m, b in rows), sum(m * m for m, _ in rows)
+    between = (ss - 2 * level * (1 - level)) / (n - nn / n)
+    assert abs(quality._strength(frame(rows), level) - max(2.0, level * (1 - level) / between - 1)) < 1e-9
+    assert quality._strength(frame([(100, 42.0), (50, 21.0)]), level) == 1e6
+    assert quality._strength(frame([(10, 1.0)]), 0.1) == quality._strength(frame([]), 0.1) == 1e6
+
+
+def test_two_labels_for_one_document(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 20, "s", "en") for i in range(40)], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(3, 0, 1), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    first, second = (sorted(map(tuple, classify(docs.repartition(n), labels).collect())) for n in (1, 3))
+    assert len(first) == 40 and [r[0] for r in first] == list(range(40)) and [r[5] for r in first] == [r[5] for r in second]
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, None, None), (1, "", "s", "en"), (None, "x " * 50_000, "s", "en")], "doc_id long, text string, source string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
