@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|turn:", "<|end|>\n"
+#: Turns summed at a time where offsets are made.
+_GROUP = 64
 
 
 def _render(turns: Column) -> Column:
@@ -26,15 +28,22 @@ def _head(t: Column) -> Column:
 
 
 def _mask(turns: Column, role: str) -> Column:
-    """start:end pairs, in code points of the completion, of the text and close of each turn of `role`."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """start:end pairs, in code points of the completion, of the text and close of each turn of `role`.
 
-    def step(state: Column, t: Column) -> Column:
-        end = state["at"] + F.length(_shown(t))
-        span = F.concat_ws(":", state["at"] + F.length(_head(t)), end)
-        return F.struct(end.alias("at"), F.when(t["role"] == role, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
-
-    return F.array_join(F.aggregate(turns, start, step)["out"], ",")
+    Ends are running sums, added up within groups of turns and over groups, so that long
+    conversations stay cheap.
+    """
+    sizes = F.transform(turns, lambda t: F.length(_shown(t)))
+    groups = F.transform(F.sequence(F.lit(0), F.floor(F.size(turns) / _GROUP).cast("int")), lambda i: F.slice(sizes, i * _GROUP + 1, F.lit(_GROUP)))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+    sums = F.transform(groups, total)
+    spans = F.transform(
+        groups,
+        lambda g, i: F.transform(g, lambda x, j: total(F.slice(sums, F.lit(1), i)) + total(F.slice(g, F.lit(1), j + 1))),
+    )
+    ends = F.flatten(spans)
+    masks = F.zip_with(turns, ends, lambda t, end: F.when(t["role"] == role, F.concat_ws(":", end - F.length(_shown(t)) + F.length(_head(t)), end)))
+    return F.array_join(F.filter(masks, lambda x: x.isNotNull()), ",")
 
 
 def _turn() -> Column:

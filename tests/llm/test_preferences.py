@@ -48,3 +48,11 @@ def test_null_and_equal_sides(spark):
     t = [(0, "user", "a"), (1, "assistant", "b")]
     rows = format_preferences(spark.createDataFrame([(1, t, t), (1, t, t), (2, None, t), (3, [], None)], kind)).collect()
     assert [(r["pair_id"], r["n_prompt"], bool(r["chosen"]), bool(r["rejected"])) for r in sorted(rows)] == [(1, 2, False, False), (1, 2, False, False), (2, 0, False, True), (3, 0, False, False)]
+
+
+def test_a_long_conversation(spark):
+    kind = "pair_id long, chosen array<struct<turn:long,role:string,text:string>>, rejected array<struct<turn:long,role:string,text:string>>"
+    turns = [(i, ("user", "assistant")[i % 2], "é" * (i % 7)) for i in range(1500)]
+    row = format_preferences(spark.createDataFrame([(1, turns, turns[:1])], kind)).first()
+    rest = [(r, t) for _, r, t in turns[1:]]
+    assert (row["n_prompt"], row["chosen"], row["chosen_mask"], row["rejected_mask"]) == (1, shown(rest), mask(rest), "")
