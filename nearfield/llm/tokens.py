@@ -60,6 +60,7 @@ class Encoder:
         parsed = json.loads(spec)
         pre = parsed.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not parsed.get("normalizer")
+        self.by_piece &= not parsed.get("truncation") and not parsed.get("padding")
         self.added = [x["content"] for x in parsed.get("added_tokens", [])]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
