@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column
@@ -25,9 +26,15 @@ def namespace(key: str) -> str:
 
 
 def namespace_column(key: Column) -> Column:
+    """The same for a column, but for keys of which no character is left: those stay '_'."""
     return F.regexp_replace(key, r"[^A-Za-z0-9._-]", "_")
 
 
+def ring_token(key: str) -> int:
+    """ring_hash of one key."""
+    return int(hashlib.md5(key.encode()).hexdigest()[:15], 16)
+
+
 def ring_hash(key: Column) -> Column:
     """60 bits of the key's MD5 as a long, the same on any engine."""
     return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 15), 16, 10).cast("long")

@@ -65,7 +65,7 @@ def _labelled(held):
 
 
 def _summed(held):
-    """Per task and centroid the sum and number of its rows: k rows leave a task, whatever it read."""
+    """Per task and centroid the sum and, last, the number of its rows: k rows leave a task, whatever it read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = held.value
@@ -77,7 +77,8 @@ def _summed(held):
                 np.add.at(sums, own, x)
                 n += np.bincount(own, minlength=len(c))
         some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(sums[some].tolist(), pa.list_(pa.float64()))], ["bucket_id", "n", "sums"])
+        both = np.concatenate([sums[some], n[some, None]], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(both.tolist(), pa.list_(pa.float64()))], ["bucket_id", "sums"])
 
     return run
 
@@ -87,7 +88,8 @@ def build_clusters(vectors: DataFrame, k: int, seed: int = 0, steps: int = 20, s
 
     Starts from k rows in seeded order, reseeds empty clusters, ends when no mean moves, drops
     empty clusters, splits in two what holds over `spread` times the average and numbers
-    buckets from 0. Only k x dim sums reach the driver in each step. Vectors must agree in length.
+    buckets from 0. Vectors must agree in length: if one doesn't, there are no rows. Sums of tasks meet in a
+    shuffle, so that only k x dim numbers reach the driver in each step.
     """
     kind = "bucket_id long, vec_id long, embedding array<float>"
     spark = vectors.sparkSession
@@ -100,11 +102,12 @@ def build_clusters(vectors: DataFrame, k: int, seed: int = 0, steps: int = 20, s
     c, spare = np.array(picks[:k], np.float64), picks[k:]
     for _ in range(steps):
         held = spark.sparkContext.broadcast(c)
-        got = rows.select("vec_id", "embedding").mapInArrow(_summed(held), "bucket_id long, n long, sums array<double>").collect()
-        sums, n = np.zeros_like(c), np.zeros(len(c), np.int64)
-        for r in got:
-            sums[r["bucket_id"]] += r["sums"]
-            n[r["bucket_id"]] += r["n"]
+        parts = rows.select("vec_id", "embedding").mapInArrow(_summed(held), "bucket_id long, sums array<double>")
+        parts = parts.select("bucket_id", F.posexplode("sums").alias("pos", "x"))
+        got = parts.groupBy("bucket_id", "pos").agg(F.sum("x").alias("x")).toArrow()  # k x (dim + 1) numbers
+        both = np.zeros((len(c), dim + 1))
+        both[got["bucket_id"].to_numpy(), got["pos"].to_numpy()] = got["x"].to_numpy()
+        sums, n = both[:, :dim], both[:, dim].astype(np.int64)
         new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
         reseeded = False
         for i in np.flatnonzero(n == 0):
@@ -182,10 +185,8 @@ def place_buckets(buckets: DataFrame, shards: int, virtual_nodes: int = 8) -> Da
     """bucket_id, shard: the first ring token at or after the bucket's hash, the first of all beyond the last."""
     if shards <= 0:
         return buckets.select("bucket_id", F.lit(0).cast("long").alias("shard"))
-    spark = buckets.sparkSession
-    tokens = spark.createDataFrame(ring(shards, virtual_nodes), "shard long, v long")
-    tokens = tokens.select("shard", naming.ring_hash(F.concat_ws(":", F.lit("node"), "shard", "v")).alias("token"))
-    keyed = buckets.select("bucket_id", naming.ring_hash(F.concat_ws(":", F.lit("bucket"), "bucket_id")).alias("h"))
-    pairs = keyed.crossJoin(F.broadcast(tokens))  # shards x virtual nodes rows
-    after = F.min(F.when(F.col("token") >= F.col("h"), F.struct("token", "shard")))
-    return pairs.groupBy("bucket_id").agg(F.coalesce(after, F.min(F.struct("token", "shard"))).alias("at")).select("bucket_id", F.col("at.shard").alias("shard"))
+    tokens = sorted((naming.ring_token(f"node:{s}:{v}"), s) for s, v in ring(shards, virtual_nodes))
+    held = F.array(*[F.struct(F.lit(t).cast("long").alias("token"), F.lit(s).cast("long").alias("shard")) for t, s in tokens])  # shards x virtual nodes entries
+    after = F.filter(held, lambda x: x["token"] >= F.col("h"))
+    keyed = buckets.select("bucket_id", naming.ring_hash(F.concat_ws(":", F.lit("bucket"), "bucket_id")).alias("h")).distinct()
+    return keyed.select("bucket_id", F.coalesce(F.get(after, F.lit(0)), F.get(held, F.lit(0)))["shard"].alias("shard"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +14,8 @@ from ..shipping import ship
 
 #: Queries that one pass over the vectors serves; more are taken in blocks of this size.
 QUERY_BLOCK = 2048
-#: Buckets whose centroids are broadcast at most.
-BUCKETS = 500_000
+#: Bytes of centroids' codes that are broadcast at once; more are taken in several passes.
+CODES = 256 << 20
 #: Probed buckets that are listed in a filter, so that other partitions aren't read.
 LISTED = 1000
 
@@ -189,12 +189,15 @@ def _routed(held):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, codes, lo, hi, pad = held.value
+        codes = codes.astype(np.float64)
         for batch in batches:
             x, at = _matrix(batch.column(1), codes.shape[1])
-            own = np.empty(len(x), np.int64)
+            own, far = np.empty(len(x), np.int64), np.empty(len(x))
             for start in range(0, len(x), 1024):
-                own[start : start + 1024] = _routing(_codes(x[start : start + 1024], lo, hi), codes, pad).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(buckets[own], pa.int64())], ["vec_id", "bucket_id"])
+                d = _routing(_codes(x[start : start + 1024], lo, hi), codes, pad)
+                own[start : start + 1024] = d.argmin(axis=1)
+                far[start : start + 1024] = d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(buckets[own], pa.int64()), pa.array(far)], ["vec_id", "bucket_id", "distance"])
 
     return run
 
@@ -202,33 +205,43 @@ def _routed(held):
 def route_all(vectors: DataFrame, centroids: DataFrame, dim: int) -> DataFrame:
     """vec_id, bucket_id: the bucket to which each vector is nearest, as route() with one probe has it.
 
-    For many vectors: nothing is shuffled. Centroids are broadcast, as many as there are
-    buckets; beyond BUCKETS of them route() is taken instead. Vectors of another dimension
-    get no row.
+    For many vectors, which never leave their tasks. Centroids are broadcast as codes of a byte a
+    dimension, CODES bytes at a time by ranges of bucket_id; if there are more, each vector keeps the
+    nearest of the passes. Vectors of another dimension get no row.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = centroids.select("bucket_id", "centroid").orderBy("bucket_id").limit(BUCKETS + 1).toArrow()
-    if rows.num_rows > BUCKETS:
-        own = route(vectors.select(F.col("vec_id").alias("qid"), "embedding"), centroids, 1, dim)
-        return own.select(F.col("qid").alias("vec_id"), "bucket_id")
-    if not rows.num_rows:
-        return spark.createDataFrame([], "vec_id long, bucket_id long")
     lo, hi = bounds_of(centroids)
-    x, at = _matrix(rows["centroid"], dim)
-    held = spark.sparkContext.broadcast((rows["bucket_id"].to_numpy()[at], _codes(x, lo, hi), lo, hi, float(V.padding(dim))))
-    return vectors.select("vec_id", "embedding").mapInArrow(_routed(held), "vec_id long, bucket_id long")
+    most = max(1, CODES // max(1, dim))
+    rest, passes = centroids.select(F.col("bucket_id").cast("long"), "centroid").where(F.size("centroid") == dim), []
+    while True:
+        rows = rest.orderBy("bucket_id").limit(most).toArrow()
+        if not rows.num_rows:
+            break
+        ids = rows["bucket_id"].to_numpy()
+        held = spark.sparkContext.broadcast((ids, _codes(_matrix(rows["centroid"], dim)[0], lo, hi).astype(np.int8), lo, hi, float(V.padding(dim))))
+        passes.append(vectors.select("vec_id", "embedding").mapInArrow(_routed(held), "vec_id long, bucket_id long, distance double"))
+        if len(ids) < most:
+            break
+        rest = rest.where(F.col("bucket_id") > int(ids[-1]))
+    if not passes:
+        return spark.createDataFrame([], "vec_id long, bucket_id long")
+    if len(passes) == 1:
+        return passes[0].select("vec_id", "bucket_id")
+    best = _union(passes, spark, "").groupBy("vec_id").agg(F.min(F.struct("distance", "bucket_id")).alias("best"))
+    return best.select("vec_id", "best.bucket_id")
 
 
-def knn_probed(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, probes: int, dim: int) -> DataFrame:
+def knn_probed(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, probes: int, dim: int, live: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Two-tier search: the nearest `probes` buckets of each query, scanned exactly.
 
-    `vectors` has bucket_id; stored partitioned by it, only probed buckets are read.
+    `vectors` has bucket_id; stored partitioned by it, only probed buckets are read. `live` is applied
+    to the rows of the probed buckets, such as a log's newest-wins rule.
     """
     spark = vectors.sparkSession
     ship(spark)
     kind = "qid long, vec_id long, distance double"
-    rows = vectors.select("vec_id", "embedding", F.col("bucket_id").cast("long").alias("bucket_id"))
+    live = live or (lambda rows: rows)
     found = []
     for ids, q in query_blocks(queries):
         block = spark.createDataFrame(pa.table({"qid": ids, "embedding": list(q)}))
@@ -237,7 +250,8 @@ def knn_probed(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k:
         probing: dict[int, list[int]] = {}
         for qid, bucket in zip(near["qid"].to_pylist(), near["bucket_id"].to_pylist(), strict=True):
             probing.setdefault(bucket, []).append(place[qid])
-        part = rows.where(F.col("bucket_id").isin(sorted(probing))) if len(probing) <= LISTED else rows
+        part = vectors.where(F.col("bucket_id").isin(sorted(probing))) if len(probing) <= LISTED else vectors
+        part = live(part).select("vec_id", "embedding", F.col("bucket_id").cast("long").alias("bucket_id"))
         found.append(part.mapInArrow(_partial(spark.sparkContext.broadcast((ids, q, probing)), k), kind))
     return _ranked(_union(found, spark, kind), k).select("qid", "rank", "vec_id", "distance")
 

@@ -1,16 +1,18 @@
 """A vector database on Parquet files with atomic commits.
 
-Every change writes new files and then swaps one manifest, which lists the files that count.
-Readers resolve the manifest once per call, so that a call sees one version. The log is
+Every change writes new files and then a manifest of its own, which lists the files that count; the
+highest whole one is in force. Readers resolve it once per call, so that a call sees one version. The log is
 partitioned by bucket; a query reads only the buckets it probes.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,35 +50,46 @@ class VectorEngine:
     # -- commits ---------------------------------------------------------------------------
 
     def _load(self) -> dict:
-        pointer = self._fs_path(f"{self.options.path}/CURRENT")
-        if not self._fs.exists(pointer):
-            return {"version": 0, "seq": 0, "log": [], "centroids": [], "meta": [], "inserted": 0, "pending": 0, "dim": 0}
-        stream = self._fs.open(pointer)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        """The newest manifest that was written whole; `top` is the highest number that any has."""
+        folder = self._fs_path(self.options.path)
+        found = []
+        if self._fs.exists(folder):
+            names = (status.getPath().getName() for status in self._fs.listStatus(folder))
+            found = sorted((int(name.removeprefix("MANIFEST-")) for name in names if re.fullmatch(r"MANIFEST-[0-9]+", name)), reverse=True)
+        for n in found:
+            stream = self._fs.open(self._fs_path(f"{self.options.path}/MANIFEST-{n}"))
+            try:
+                state = json.loads(bytes(stream.readAllBytes()).decode())
+            except ValueError:  # its writer ended before it was whole
+                continue
+            finally:
+                stream.close()
+            return state | {"version": n, "top": found[0]}
+        return {"version": 0, "top": max(found, default=0), "seq": 0, "log": [], "centroids": [], "meta": [], "inserted": 0, "pending": 0, "dim": 0}
 
     def _commit(self, **changes) -> None:
-        """Swap the manifest; fails if another writer has swapped it since it was read."""
+        """Write the next manifest, a file that no one else may have made; older ones stay until vacuum().
+
+        A writer that ends at any point leaves the newest whole manifest in force.
+        """
         if self._load()["version"] != self._state["version"]:
             raise RuntimeError("another writer has committed; reopen and retry")
-        state = self._state | changes
-        state["version"] += 1
-        fresh = self._fs_path(f"{self.options.path}/CURRENT.{uuid.uuid4().hex}")
-        out = self._fs.create(fresh)
+        n = max(self._load()["top"], self._state["version"]) + 1
+        state = self._state | changes | {"version": n, "top": n}
+        try:
+            out = self._fs.create(self._fs_path(f"{self.options.path}/MANIFEST-{n}"), False)
+        except Py4JJavaError as e:
+            raise RuntimeError("another writer has committed; reopen and retry") from e
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        target = self._fs_path(f"{self.options.path}/CURRENT")
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(fresh, target):
-            raise RuntimeError("commit failed")
         self._state = state
 
     def _write(self, df: DataFrame, kind: str) -> str:
         path = f"{self.options.path}/{kind}/{self._state['version'] + 1}-{uuid.uuid4().hex}"
-        (df.repartition("bucket_id").write.partitionBy("bucket_id") if kind == "log" else df.write).parquet(path)
+        if kind == "log":  # rebalanced, so that Spark splits a large bucket over tasks and files
+            df.hint("rebalance", "bucket_id").write.partitionBy("bucket_id").parquet(path)
+        else:
+            df.write.parquet(path)
         return path
 
     def _read(self, kind: str, schema: str) -> DataFrame:
@@ -126,7 +139,7 @@ class VectorEngine:
 
     def query_many(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         """qid, rank, vec_id, distance for queries (qid, embedding)."""
-        return search.knn_probed(self.vectors(), queries, self.centroids(), k, probes, self._state["dim"])
+        return search.knn_probed(self.log(), queries, self.centroids(), k, probes, self._state["dim"], vlog.live)
 
     def get(self, ids: list[int]) -> DataFrame:
         """vec_id, embedding in the order asked for; missing ids are left out."""
@@ -245,6 +258,10 @@ class VectorEngine:
                     path = status.getPath()
                     if not any(p.endswith(path.getName()) for p in held):
                         self._fs.delete(path, True)
+        for status in self._fs.listStatus(self._fs_path(self.options.path)):
+            number = re.fullmatch(r"MANIFEST-([0-9]+)", status.getPath().getName())
+            if number and int(number[1]) < self._state["version"]:
+                self._fs.delete(status.getPath(), False)
 
     def close(self) -> None:
         self._state = self._load()

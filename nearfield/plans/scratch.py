@@ -9,5 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="nearfield-")
+    """A new path below spark.checkpoint.dir; on one machine a temporary folder will do where that isn't set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="nearfield-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -66,3 +66,18 @@ def test_rebalance_and_vacuum(spark, tmp_path):
     db.vacuum()
     assert db.stats()["vectors"] == 7 and db.shards().count() == 2
     assert VectorEngine.open(spark, "x", str(tmp_path)).log().count() == 7
+
+
+def test_a_commit_that_breaks_off_loses_nothing(spark, tmp_path):
+    db = VectorEngine.open(spark, "torn", str(tmp_path))
+    db.insert(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], VEC))
+    version = db._state["version"]
+    (tmp_path / "torn" / f"MANIFEST-{version + 1}").write_text('{"version": ')  # a writer that ended half way
+    again = VectorEngine.open(spark, "torn", str(tmp_path))
+    assert again._state["version"] == version and again.stats()["vectors"] == 2
+    again.insert(3, [1.0, 1.0])
+    assert VectorEngine.open(spark, "torn", str(tmp_path)).stats()["vectors"] == 3
+    with pytest.raises(RuntimeError, match="another writer"):
+        db.delete([1])
+    again.vacuum()
+    assert ids(VectorEngine.open(spark, "torn", str(tmp_path)).query_many(spark.createDataFrame([(0, [1.0, 0.1])], "qid long, embedding array<float>"), 2, 1)) == [1, 3]

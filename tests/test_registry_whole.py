@@ -10,13 +10,12 @@ import pytest
 from nearfield.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.01"
-WHOLE = sorted(n for n in QUERIES if n.endswith("_whole"))
-#: Searches, and the column of their query's id; rows that each query by itself has to bring.
-SEARCHES = {"knn_exact_top10_whole": 10, "knn_with_vectors_whole": 3 * 64, "route_top3_whole": 3, "dedupe_keep_nearest_whole": 15}
+#: Searches, and rows that each query by itself has to bring.
+SEARCHES = {"knn_exact_top10": 10, "knn_with_vectors": 3 * 64, "route_top3": 3, "dedupe_keep_nearest": 15}
 #: Queries with a result for each row, and the column of its id.
-COVERING = {"center_i8_whole": "vec_id", "l2_pairwise_whole": "a", "l2sq_pairwise_whole": "a"}
-CUT = (
-    "knn_exact_top10 knn_with_vectors knn_probes_1 knn_probes_2 knn_probes_5 knn_probes_10 route_top3 routing_distance recall_at_10 dedupe_keep_nearest"
+COVERING = {"center_i8": "vec_id", "l2_pairwise": "a", "l2sq_pairwise": "a"}
+WHOLE = (
+    "knn_exact_top10 knn_with_vectors knn_probes_1 knn_probes_2 knn_probes_5 knn_probes_10 route_top3 routing_distance recall_at_10 recall_reachable dedupe_keep_nearest"
     " l2_pairwise l2sq_pairwise center_i8 running_mean_insert insert_accept insert_reject batch_duplicates bulk_ingest_batches bucket_meta_latest active_buckets snapshot_replay"
 ).split()
 
@@ -27,10 +26,6 @@ def connected():
     return c
 
 
-def test_each_cut_query_has_a_whole_one():
-    assert {f"{n}_whole" for n in CUT} == set(WHOLE) and set(WHOLE) <= set(ORACLE_SQL)
-
-
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="test data isn't there")
 @pytest.mark.parametrize("name", WHOLE)
 def test_against_sql(spark, name):

@@ -62,3 +62,12 @@ def test_placement(spark):
     assert set(four.values()) == {0, 1, 2, 3}
     assert all(four[b] == five[b] or five[b] == 4 for b in four)
     assert {r["shard"] for r in clustering.place_buckets(buckets, 0).collect()} == {0}
+
+
+def test_route_all_in_several_passes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 4)))], "vec_id long, embedding array<double>")
+    c = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(11, 4)))], "bucket_id long, centroid array<double>")
+    want = sorted(map(tuple, search.route_all(v, c, 4).collect()))
+    monkeypatch.setattr(search, "CODES", 12)  # three centroids at a time
+    assert sorted(map(tuple, search.route_all(v, c, 4).collect())) == want and len(want) == 60
