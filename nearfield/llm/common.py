@@ -47,6 +47,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def written(spark: SparkSession, path: str) -> int:
+    """When a file was written, by the clock of where it is stored."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that `cut` has written and nothing reads any more."""
     for table in tables:

@@ -293,6 +293,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     first = F.coalesce(F.hex(F.col("first_id").bitwiseXOR(F.lit(-1 << 63))), F.lit(""))
     name = F.unhex(F.concat(F.when(F.col("first_id").isNull(), "01").otherwise("00"), F.lpad(first, 16, "0"), F.hex("text_set")))
     texts = cut(texts.withColumns({"name": name, "id": F.xxhash64("text_set")}), "texts")
+    rows = cut(signed.select("doc_id", "text_set"), "rows")
+    discard(signed)
 
     leaves = texts.select("id", F.explode(F.arrays_zip("nodes", "labels")).alias("leaf")).select("id", F.col("leaf.nodes").alias("node"), F.col("leaf.labels").alias("labels"))
     shared = cut(leaves.groupBy("node").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("node"), "shared")
@@ -324,6 +326,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     discard(texts, found)
     own = F.when(F.col("text_set").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     zero = F.lit(0).cast("long")
-    return signed.select("doc_id", "text_set").join(named, "text_set", "left").select(
+    return rows.join(named, "text_set", "left").select(
         "doc_id", own.alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_same", zero).alias("n_same")
     )

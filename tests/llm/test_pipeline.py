@@ -127,6 +127,20 @@ def test_stages_against_brute_force(spark, folder):
     assert Counter((r["doc_id"], r["ids_crc32"]) for r in files.collect()) == Counter({(k, c): n for (k, c), n in sum((Counter({(i, crc(t)): n}) for (i, t, _), n in taken.items()), Counter()).items()})
 
 
+def test_results_that_are_not_written_stay_readable(spark, folder, tmp_path):
+    """Keyed copies go only when a stage's result has been written and is read from there."""
+    rows = [(i, prose(i), "s") for i in range(6)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    each = [stage(spark, docs, str(folder)) for _, stage in corpus_pipeline.STAGES[1:4]]
+    assert [x.count() for x in each][:2] == [6, 6] and each[2].count() > 0
+    held = list(corpus_pipeline._left[spark.sparkContext.applicationId])
+    each[0].write.parquet(f"{tmp_path}/one")
+    again = corpus_pipeline.clear_of_benchmark(spark, spark.read.parquet(f"{tmp_path}/one"), str(folder))
+    assert again.count() == 6
+    assert len(held) >= 3 and not set(map(id, held)) & set(map(id, corpus_pipeline._left[spark.sparkContext.applicationId]))
+
+
 def test_stages_of_nothing(spark, folder):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], KIND), str(folder)).count() == 0, name
