@@ -12,13 +12,26 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ROW = "_row"
 
 
+#: Keyed copies that the stages so far have left, by application.
+_left: dict[str, list[DataFrame]] = {}
+
+
 def _keyed(docs: DataFrame, name: str) -> DataFrame:
     """docs with a key of each row, written once so that every reader sees the same.
 
-    A task's number is spread over the key's low bits, by which near_duplicates fills a bitmap.
+    A task's number is spread over the key's low bits, by which near_duplicates fills a bitmap. A copy
+    that an earlier stage left goes once docs comes from files written after it: that stage's result
+    has been written by then, and mustn't be read again. Where docs isn't read from files, copies stay.
     """
+    spark, read = docs.sparkSession, docs.inputFiles()
+    left = _left.setdefault(spark.sparkContext.applicationId, [])
+    since = min((common.written(spark, file) for file in (read[0], read[-1])), default=0) if read else 0
+    for old in [x for x in left if common.written(spark, x._cut) < since and not any(x._cut.rpartition("/")[2] in file for file in read)]:
+        left.remove(old)
+        common.discard(old)
     spread = (F.spark_partition_id().cast("long") * 0x9E3779B1).bitwiseAND((1 << 33) - 1)
-    return common.cut(docs.select(*COLUMNS, F.monotonically_increasing_id().bitwiseXOR(spread).alias(ROW)), name)
+    left.append(common.cut(docs.select(*COLUMNS, F.monotonically_increasing_id().bitwiseXOR(spread).alias(ROW)), name))
+    return left[-1]
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
