@@ -15,6 +15,8 @@ from .common import cut
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of a digest on which expressions and rules are joined.
 SHORT = 8
+#: Bytes of rules that are broadcast at most, by their measured size; beyond, both sides are shuffled.
+BYTES = 16 << 20
 #: Between host and path in a digest; neither can hold it, as host and path are parted at a '/'.
 BETWEEN = "\x00"
 
@@ -34,7 +36,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     `default`. Null or malformed URLs have an empty host and path, which only rules with an
     empty host and path fit. Rules with a null host, path or verdict don't count. Repeated
     pages keep a row each. Only page_id and url are read. Of a page only its expressions that a rule
-    fits are gathered; a short prefix that many share is split by Spark, both sides being shuffled.
+    fits are gathered. Rules are broadcast if they take BYTES at most; else both sides are shuffled, and
+    Spark splits a short prefix that many pages share.
     """
     rules = rules.where("host is not null and path is not null and verdict is not null").select(
         F.translate("host", _UPPER, _LOWER).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")
@@ -61,7 +64,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     digests = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.sha2(F.concat(s, F.lit(BETWEEN), p), 256))))
     rows = rows.select("uid", "page_id", "host", "path", digests.alias("digests"))
     spread = rows.select("uid", F.explode("digests").alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
-    fits = spread.join(held, "short").where("digest = r_digest")
+    size = held.agg(F.sum(F.length("rule") + 128)).first()[0] or 0
+    fits = spread.join(F.broadcast(held), "short") if size <= BYTES else spread.hint("merge").join(held, "short")
+    fits = fits.where("digest = r_digest")
     best = F.max(F.struct(F.length("rule").alias("n"), "host_length", (F.col("r_verdict") == "block").alias("b"), "rule", "r_verdict"))
     best = fits.groupBy("uid").agg(best.alias("best"))
     return rows.join(best, "uid", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import pytest
+
+from nearfield.llm import urls
 from nearfield.llm.queries import RULES
 from nearfield.llm.urls import filter_urls
 
@@ -20,7 +23,9 @@ URLS = {
 }
 
 
-def test_verdicts(spark):
+@pytest.mark.parametrize("size", [urls.BYTES, 0])
+def test_verdicts(spark, monkeypatch, size):
+    monkeypatch.setattr(urls, "BYTES", size)
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     pages = spark.createDataFrame([(i % 5, u, "r", "h") for i, u in enumerate(URLS)] * 2, "page_id long, url string, rule string, host string")
     rows = filter_urls(pages, rules).collect()
