@@ -15,6 +15,11 @@ from ..functions import vectors as V
 from ..shipping import ship
 from .search import _matrix, dimension
 
+#: Rows of a bucket that one task splits; larger buckets are split without being gathered.
+WHOLE = 50_000
+#: Larger buckets whose two centres are broadcast at once.
+APART = 1000
+
 
 def centroids_long(vectors: DataFrame) -> DataFrame:
     """bucket_id, pos, mean: partial sums meet before the shuffle, one row per bucket and dimension."""
@@ -29,6 +34,17 @@ def centroids(vectors: DataFrame, digits: int = 9) -> DataFrame:
     return means.select("bucket_id", F.transform("ms", lambda z: z["m"]).alias("centroid")).join(counts, "bucket_id")
 
 
+def moved(cents: DataFrame, added: DataFrame, digits: int = 9) -> DataFrame:
+    """bucket_id, centroid, n after rows `added` (bucket_id, embedding): running means, without a look at older rows.
+
+    Buckets without a centroid so far start from the rows added.
+    """
+    new = centroids(added, digits).withColumnsRenamed({"centroid": "own", "n": "m"})
+    both = F.zip_with("centroid", "own", lambda c, x: F.round((c * F.col("n") + x * F.col("m")) / (F.col("n") + F.col("m")), digits))
+    rows = cents.select("bucket_id", "centroid", "n").join(new, "bucket_id", "full")
+    return rows.select("bucket_id", F.when(F.col("own").isNull(), F.col("centroid")).when(F.col("centroid").isNull(), F.col("own")).otherwise(both).alias("centroid"), (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+
+
 def assign(vectors: DataFrame, seeds: DataFrame, dim: int) -> DataFrame:
     """vec_id, bucket_id: the nearest of k seeds (bucket_id, centroid), ties to the smaller bucket_id.
 
@@ -146,16 +162,118 @@ def _halves(x: np.ndarray, steps: int = 8) -> np.ndarray:
     return own if 0 < own.sum() < len(x) else (np.arange(len(x)) >= len(x) // 2).astype(np.int64)
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch], numbers: dict[int, int], dim: int):
+    """Of batches (bucket_id, vec_id, embedding): the bucket's number and the places, ids and vectors of its rows of `dim`."""
+    for batch in batches:
+        x, at = _matrix(batch.column(2), dim)
+        buckets, ids = batch.column(0).to_numpy()[at], batch.column(1).to_numpy()[at]
+        yield batch, [(numbers[b], at[own], ids[own], x[own]) for b in np.unique(buckets).tolist() for own in [buckets == b]]
+
+
+def _farthest(held):
+    """Per task and bucket the row farthest from the bucket's reference, ties to the smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, refs = held.value
+        best: dict[int, tuple] = {}
+        for _, groups in _by_bucket(batches, {b: i for i, b in enumerate(names)}, refs.shape[1]):
+            for i, _, ids, x in groups:
+                d = ((x - refs[i]) ** 2).sum(1)
+                j = np.lexsort((ids, -d))[0]
+                best[i] = max(best.get(i, (-1.0, 0, None)), (float(d[j]), -int(ids[j]), x[j].tolist()), key=lambda t: t[:2])
+        rows = [{"bucket_id": names[i], "far": d, "back": back, "embedding": x} for i, (d, back, x) in best.items()]
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket_id", pa.int64()), ("far", pa.float64()), ("back", pa.int64()), ("embedding", pa.list_(pa.float64()))]))
+
+    return run
+
+
+def _side_sums(held):
+    """Per task, bucket and side the sum and, last, the number of its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, c = held.value
+        sums = np.zeros((len(names), 2, c.shape[2] + 1))
+        for _, groups in _by_bucket(batches, {b: i for i, b in enumerate(names)}, c.shape[2]):
+            for i, _, _, x in groups:
+                own = _side(x, c[i])
+                for side in (0, 1):
+                    sums[i, side, :-1] += x[own == side].sum(0)
+                    sums[i, side, -1] += (own == side).sum()
+        some = [(i, side) for i in range(len(names)) for side in (0, 1) if sums[i, side, -1]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([names[i] for i, _ in some], pa.int64()), pa.array([z for _, z in some], pa.int64()), pa.array([sums[i, z].tolist() for i, z in some], pa.list_(pa.float64()))],
+            ["bucket_id", "side", "sums"],
+        )
+
+    return run
+
+
+def _side(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (((x - c[1]) ** 2).sum(1) < ((x - c[0]) ** 2).sum(1)).astype(np.int64)
+
+
+def _sided(held, fields: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, c, new, equal = held.value
+        for batch, groups in _by_bucket(batches, {b: i for i, b in enumerate(names)}, c.shape[2]):
+            side = np.zeros(batch.num_rows, np.int64)  # rows of another dimension go to the first half
+            for i, at, ids, x in groups:
+                side[at] = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.int64) if names[i] in equal else _side(x, c[i])
+            to = np.array([new[b] for b in batch.column(0).to_pylist()], np.int64) + side
+            yield pa.RecordBatch.from_arrays([pa.array(to), batch.column(1), batch.column(2)], fields)
+
+    return run
+
+
+def _split_apart(rows: DataFrame, buckets: list[int], new: dict[int, int], steps: int = 8) -> DataFrame:
+    """Halves of buckets that are too large for a task, by two-means whose sums meet in a shuffle.
+
+    Rows stay in their tasks; two centres a bucket are broadcast. Where all rows are equal, a hash of the id parts them.
+    """
+    spark = rows.sparkSession
+    rows = rows.where(F.col("bucket_id").isin(buckets)).select("bucket_id", "vec_id", "embedding")
+    dim = dimension(rows)
+    share = spark.sparkContext.broadcast
+
+    def farthest(refs: np.ndarray) -> np.ndarray:
+        kind = "bucket_id long, far double, back long, embedding array<double>"
+        each = rows.mapInArrow(_farthest(share((buckets, refs))), kind)
+        got = {r["bucket_id"]: r["x"] for r in each.groupBy("bucket_id").agg(F.max_by("embedding", F.struct("far", "back")).alias("x")).collect()}
+        return np.array([got[b] for b in buckets], np.float64)
+
+    base = rows.where(F.size("embedding") == dim).groupBy("bucket_id").agg(F.min_by("embedding", "vec_id").alias("x"))
+    refs = {r["bucket_id"]: r["x"] for r in base.collect()}  # a row a bucket
+    buckets = [b for b in buckets if b in refs]
+    one = farthest(np.array([refs[b] for b in buckets], np.float64))
+    c = np.stack([one, farthest(one)], axis=1)
+    equal: set[int] = set()
+    for _ in range(steps):
+        parts = rows.mapInArrow(_side_sums(share((buckets, c))), "bucket_id long, side long, sums array<double>")
+        parts = parts.select("bucket_id", "side", F.posexplode("sums").alias("pos", "x")).groupBy("bucket_id", "side", "pos").agg(F.sum("x").alias("x")).toArrow()
+        both = np.zeros((len(buckets), 2, dim + 1))
+        place = {b: i for i, b in enumerate(buckets)}
+        both[[place[b] for b in parts["bucket_id"].to_pylist()], parts["side"].to_numpy(), parts["pos"].to_numpy()] = parts["x"].to_numpy()
+        n = both[:, :, dim]
+        equal |= {b for b, least in zip(buckets, n.min(1).tolist(), strict=True) if least == 0}
+        means = np.where(n[:, :, None] > 0, both[:, :, :dim] / np.maximum(n, 1)[:, :, None], c)
+        if np.allclose(means, c, atol=1e-12):
+            break
+        c = means
+    return rows.mapInArrow(_sided(share((buckets, c, new, equal)), ["bucket_id", "vec_id", "embedding"]), "bucket_id long, vec_id long, embedding array<float>")
+
+
 def split_buckets(rows: DataFrame, large: list[int], first_new: int) -> DataFrame:
     """Split each of the buckets `large` once; its halves get new ids from `first_new`.
 
-    A bucket goes to one task: it is a few times the split threshold at most, as every
-    round of rebalancing splits all that exceed it.
+    A bucket of at most WHOLE rows goes to one task; larger ones are halved where their rows lie.
     """
     if not large:
         return rows
     ship(rows.sparkSession)
     new = {b: first_new + 2 * i for i, b in enumerate(sorted(large))}
+    rows = rows.select(F.col("bucket_id").cast("long").alias("bucket_id"), "vec_id", "embedding")
+    some = rows.where(F.col("bucket_id").isin(large))
+    huge = sorted(r["bucket_id"] for r in some.groupBy("bucket_id").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE).collect())
 
     def split(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vec_id", kind="stable")
@@ -163,8 +281,12 @@ def split_buckets(rows: DataFrame, large: list[int], first_new: int) -> DataFram
             frame["bucket_id"] = new[key[0]] + _halves(np.array(frame["embedding"].tolist(), np.float64))
         return frame
 
-    parts = rows.where(F.col("bucket_id").isin(large)).groupBy("bucket_id").applyInPandas(split, rows.schema)
-    return rows.where(~F.col("bucket_id").isin(large)).unionByName(parts)
+    out = rows.where(~F.col("bucket_id").isin(large))
+    if len(huge) < len(large):
+        out = out.unionByName(some.where(~F.col("bucket_id").isin(huge)).groupBy("bucket_id").applyInPandas(split, some.schema))
+    for i in range(0, len(huge), APART):
+        out = out.unionByName(_split_apart(rows, huge[i : i + APART], new))
+    return out
 
 
 def farthest_pair(vectors: DataFrame, dim: int) -> DataFrame:

@@ -27,7 +27,7 @@ class Options:
     path: str
     shards: int = 4
     virtual_nodes: int = 8
-    rebuild_every: int = 1  # inserted vectors after which centroids are made anew; until then routing is stale
+    rebuild_every: int = 1000  # inserted vectors after which centroids are made anew; until then they follow as running means
 
     def __post_init__(self):
         if self.shards <= 0:
@@ -92,8 +92,8 @@ class VectorEngine:
             df.write.parquet(path)
         return path
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        parts = self._state[kind]
+    def _read(self, kind: str, schema: str, more: list[str] | None = None) -> DataFrame:
+        parts = [*self._state[kind], *(more or [])]
         if not parts:
             return self.spark.createDataFrame([], schema)
         out = None
@@ -110,6 +110,15 @@ class VectorEngine:
     def vectors(self) -> DataFrame:
         return vlog.live(self.log()).select("vec_id", "embedding", "bucket_id")
 
+    def _known(self, ids: DataFrame, column: str | None = None) -> DataFrame:
+        """vec_id, bucket_id and `column` of what is stored of `ids`, a few against the log.
+
+        Ids meet the log before newest-wins, so that only their rows are shuffled, and other columns aren't read.
+        """
+        columns = list(dict.fromkeys(["seq", "op", "vec_id", "bucket_id", *([column] if column else [])]))
+        rows = self.log().select(*columns).join(ids.select("vec_id").distinct(), "vec_id", "left_semi")
+        return vlog.live(rows).drop("seq", "op")
+
     def centroids(self) -> DataFrame:
         return self._read("centroids", "bucket_id long, centroid array<double>, n long")
 
@@ -143,19 +152,22 @@ class VectorEngine:
 
     def get(self, ids: list[int]) -> DataFrame:
         """vec_id, embedding in the order asked for; missing ids are left out."""
-        return search.get(self.vectors(), self._wanted(ids)).orderBy("pos").select("vec_id", "embedding")
+        wanted = self._wanted(ids)
+        return search.get(self._known(wanted, "embedding"), wanted).orderBy("pos").select("vec_id", "embedding")
 
     def resolve_buckets(self, ids: list[int]) -> DataFrame:
-        return search.get(self.vectors(), self._wanted(ids), "bucket_id").orderBy("pos").select("vec_id", "bucket_id")
+        wanted = self._wanted(ids)
+        return search.get(self._known(wanted), wanted, "bucket_id").orderBy("pos").select("vec_id", "bucket_id")
 
     def fetch_vectors(self, bucket_id: int, ids: list[int]) -> DataFrame:
-        return search.fetch_in_bucket(self.vectors(), bucket_id, self._wanted(ids)).select("vec_id", "embedding")
+        rows = vlog.live(self.log().where(F.col("bucket_id") == bucket_id))  # one partition: a move leaves a tombstone behind
+        return search.fetch_in_bucket(rows, bucket_id, self._wanted(ids)).select("vec_id", "embedding")
 
     def _wanted(self, ids: list[int]) -> DataFrame:
         return self.spark.createDataFrame(list(enumerate(map(int, ids))), "pos long, vec_id long")
 
     def stats(self) -> dict:
-        row = self.vectors().agg(F.countDistinct("bucket_id").alias("buckets"), F.count("*").alias("vectors")).first()
+        row = vlog.live(self.log().drop("embedding")).agg(F.countDistinct("bucket_id").alias("buckets"), F.count("*").alias("vectors")).first()
         return {"ready": bool(self._state["centroids"]), "buckets": row["buckets"], "vectors": row["vectors"], "inserted_total": self._state["inserted"], "pending_updates": self._state["pending"]}
 
     # -- writing ---------------------------------------------------------------------------
@@ -178,14 +190,17 @@ class VectorEngine:
         dim = self._state["dim"] or seen["a"]
         if seen["a"] != seen["b"] or seen["a"] != dim or not dim:
             raise ValueError(f"dimension mismatch: expected {dim}")
-        clash = ingest.duplicates(rows).select("vec_id").unionByName(ingest.rejected(rows, self.vectors()).select("vec_id")).first()
+        clash = ingest.duplicates(rows).select("vec_id").unionByName(ingest.rejected(rows, self._known(rows)).select("vec_id")).first()
         if clash:
             raise ValueError(f"id {clash['vec_id']} already exists")
         placed = self._placed(rows, dim)
         path = self._write(placed.select(F.lit(self._state["seq"] + 1).cast("long").alias("seq"), F.lit("I").alias("op"), "vec_id", "embedding", "bucket_id"), "log")
-        self._commit(log=[*self._state["log"], path], seq=self._state["seq"] + 1, inserted=self._state["inserted"] + seen["n"], pending=self._state["pending"] + seen["n"], dim=dim)
-        if not self._state["centroids"] or bucket_col or self._state["pending"] >= self.options.rebuild_every:
-            self.flush()
+        pending = self._state["pending"] + seen["n"]
+        if not self._state["centroids"] or pending >= self.options.rebuild_every:
+            pending, cents = 0, clustering.centroids(vlog.live(self._read("log", vlog.SCHEMA, [path])))
+        else:
+            cents = clustering.moved(self.centroids(), self.spark.read.schema(vlog.SCHEMA).parquet(path))
+        self._commit(log=[*self._state["log"], path], seq=self._state["seq"] + 1, inserted=self._state["inserted"] + seen["n"], pending=pending, dim=dim, centroids=[self._snapshot(cents)])
         return seen["n"]
 
     def _placed(self, rows: DataFrame, dim: int) -> DataFrame:
@@ -195,34 +210,42 @@ class VectorEngine:
         return rows.join(own, "vec_id", "left").withColumn("bucket_id", F.coalesce("hint", "bucket_id")).drop("hint")
 
     def delete(self, ids: list[int] | int | DataFrame) -> None:
-        """Unknown ids are ignored."""
+        """Unknown ids are ignored. Centroids of the buckets that lose rows are made anew, others stay."""
         if not isinstance(ids, DataFrame):
             ids = self._wanted([ids] if isinstance(ids, int) else ids)
-        hit = self.vectors().join(ids.select("vec_id").distinct(), "vec_id", "left_semi")
+        hit = self._known(ids)
         seq = self._state["seq"] + 1
         path = self._write(hit.select(F.lit(seq).cast("long").alias("seq"), F.lit("D").alias("op"), "vec_id", F.lit(None).cast("array<float>").alias("embedding"), "bucket_id"), "log")
-        self._commit(log=[*self._state["log"], path], seq=seq)
-        self.flush()
+        touched = self.spark.read.schema(vlog.SCHEMA).parquet(path).select("bucket_id").distinct()
+        if not touched.take(1):
+            return
+        rows = vlog.live(self._read("log", vlog.SCHEMA, [path]).join(touched, "bucket_id", "left_semi"))
+        kept = self.centroids().join(touched, "bucket_id", "left_anti")
+        cents = kept.select("bucket_id", "centroid", "n").unionByName(clustering.centroids(rows).select("bucket_id", "centroid", "n"))
+        self._commit(log=[*self._state["log"], path], seq=seq, centroids=[self._snapshot(cents)])
+
+    def _snapshot(self, cents: DataFrame) -> str:
+        return self._write(cents.select("bucket_id", F.col("centroid").cast("array<double>").alias("centroid"), F.col("n").cast("long").alias("n")), "centroids")
 
     def flush(self) -> None:
         """Write a new version of the centroids from what is stored."""
-        path = self._write(clustering.centroids(self.vectors()).select("bucket_id", "centroid", "n"), "centroids")
-        self._commit(centroids=[path], pending=0)
+        self._commit(centroids=[self._snapshot(clustering.centroids(self.vectors()))], pending=0)
 
     def install_snapshot(self, centroids: DataFrame) -> None:
         """Replace all centroids (bucket_id, centroid, n)."""
-        self._commit(centroids=[self._write(centroids.select("bucket_id", F.col("centroid").cast("array<double>").alias("centroid"), "n"), "centroids")])
+        self._commit(centroids=[self._snapshot(centroids)])
 
     def _replace(self, rows: DataFrame, retired: list[int]) -> None:
         seq = self._state["seq"] + 1
         path = self._write(rows.select(F.lit(seq).cast("long").alias("seq"), F.lit("I").alias("op"), "vec_id", "embedding", "bucket_id"), "log")
-        fresh = self.spark.read.schema(vlog.SCHEMA).parquet(path).select("bucket_id").distinct()
+        stored = self.spark.read.schema(vlog.SCHEMA).parquet(path)
+        fresh = stored.select("bucket_id").distinct()
         meta = fresh.select(F.lit(seq).cast("long").alias("seq"), "bucket_id", F.lit("Active").alias("status"))
         if retired:
             gone = self.spark.createDataFrame([(b,) for b in retired], "bucket_id long")
             meta = meta.unionByName(gone.join(fresh, "bucket_id", "left_anti").select(F.lit(seq).cast("long").alias("seq"), "bucket_id", F.lit("Retired").alias("status")))
-        self._commit(log=[path], seq=seq, meta=[*self._state["meta"], self._write(meta, "meta")])
-        self.flush()
+        meta = [*self._state["meta"], self._write(meta, "meta")]
+        self._commit(log=[path], seq=seq, meta=meta, centroids=[self._snapshot(clustering.centroids(stored))], pending=0)
 
     def build_index(self, k: int, seed: int = 0) -> None:
         """Cluster all that is stored into about k buckets."""

@@ -285,11 +285,15 @@ def stats_after_deletes(spark, sf_dir):
 
 @query("install_snapshot", "SELECT bucket_id + 100 AS bucket_id, count(*) AS n FROM e WHERE bucket_id % 2 = 0 GROUP BY bucket_id")
 def install_snapshot(spark, sf_dir):
-    """All metadata replaced: only the new snapshot's buckets are left."""
-    rows = bucket_counts(spark, sf_dir)
-    fresh = rows.where("bucket_id % 2 = 0").select((F.col("bucket_id") + 100).alias("bucket_id"), "n")
-    both = rows.withColumn("version", F.lit(1)).unionByName(fresh.withColumn("version", F.lit(2)))
-    return both.join(F.broadcast(both.agg(F.max("version").alias("version"))), "version").select("bucket_id", "n")
+    """Two snapshots installed after each other: only the second's buckets are left."""
+    from .database import VectorEngine
+    from .scratch import folder
+
+    means = clustering.centroids(table(spark, sf_dir))
+    db = VectorEngine.open(spark, "installed", folder(spark))
+    db.install_snapshot(means)
+    db.install_snapshot(means.where("bucket_id % 2 = 0").withColumn("bucket_id", F.col("bucket_id") + 100))
+    return db.centroids().select("bucket_id", "n")
 
 
 @query("namespace_names", r"SELECT source, regexp_replace(source || ' / ' || lang || '.v1', '[^A-Za-z0-9._-]', '_', 'g') AS name FROM (SELECT DISTINCT source, lang FROM documents) t")
@@ -477,19 +481,29 @@ def snapshot_replay(spark, sf_dir):
     return vlog.replay(bucket_counts(spark, sf_dir), updates)
 
 
-# -- procedures: rows only --------------------------------------------------------------------
+# -- procedures: what holds of their results -------------------------------------------------
 
 
-@query("build_clusters")
+@query("build_clusters", "SELECT vec_id, 1::BIGINT AS copies, true AS same_vector, true AS numbered FROM e")
 def build_clusters(spark, sf_dir):
-    return clustering.build_clusters(table(spark, sf_dir), 10).select("bucket_id", "vec_id")
+    """Each vector once and unchanged, in buckets numbered from 0 without a gap."""
+    rows = table(spark, sf_dir)
+    found = clustering.build_clusters(rows, 10)
+    ends = found.agg((F.count_distinct("bucket_id") == F.max("bucket_id") + 1).alias("dense"), (F.min("bucket_id") == 0).alias("first"))
+    one = found.join(rows.select("vec_id", F.col("embedding").alias("stored")), "vec_id").crossJoin(F.broadcast(ends))  # one row
+    return one.groupBy("vec_id").agg(F.count("*").alias("copies"), F.every(F.col("embedding") == F.col("stored")).alias("same_vector"), F.every(F.col("dense") & F.col("first")).alias("numbered"))
 
 
-@query("rebalance_split")
+@query("rebalance_split", "SELECT vec_id, bucket_id AS parent, CASE WHEN count(*) OVER (PARTITION BY bucket_id) > 50 THEN 2 ELSE 1 END::BIGINT AS parts FROM e")
 def rebalance_split(spark, sf_dir):
+    """Each vector, the bucket that it comes from, and the number of that bucket's parts: two if it was too large."""
     rows = table(spark, sf_dir).select("bucket_id", "vec_id", "embedding")
-    large = [r["bucket_id"] for r in oversized_buckets(spark, sf_dir).collect()]
-    return clustering.split_buckets(rows, large, 10).select("bucket_id", "vec_id")
+    large = sorted(r["bucket_id"] for r in oversized_buckets(spark, sf_dir).collect())
+    names = spark.createDataFrame([(10 + 2 * i + side, b) for i, b in enumerate(large) for side in (0, 1)], "bucket_id long, was long")
+    found = clustering.split_buckets(rows, large, 10).join(F.broadcast(names), "bucket_id", "left")
+    found = found.select("vec_id", "bucket_id", F.coalesce("was", "bucket_id").alias("parent"))
+    parts = found.groupBy("parent").agg(F.count_distinct("bucket_id").alias("parts"))
+    return found.join(F.broadcast(parts), "parent").select("vec_id", "parent", "parts")
 
 
 @query("stream_ingest", "SELECT vec_id FROM e")

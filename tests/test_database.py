@@ -31,7 +31,7 @@ def test_lifecycle(spark, tmp_path):
     assert ids(db.get([2])) == [] and ids(db.query([0.0, 1.0, 0.0], 3)) == [1, 3]
     db.insert(2, [0.0, 0.5, 0.0])
     again = VectorEngine.open(spark, "my db", root)
-    assert again.stats() == {"ready": True, "buckets": 1, "vectors": 3, "inserted_total": 4, "pending_updates": 0}
+    assert again.stats() == {"ready": True, "buckets": 1, "vectors": 3, "inserted_total": 4, "pending_updates": 1}
     assert ids(again.query([0.0, 1.0, 0.0], 1)) == [2]
     again.insert(4, [1.0, 1.0, 0.0])
     with pytest.raises(RuntimeError, match="another writer"):
@@ -42,7 +42,9 @@ def test_rebuild_policy(spark, tmp_path):
     db = VectorEngine.open(spark, "y", str(tmp_path), rebuild_every=3)
     db.insert(1, [0.0, 0.0])
     db.insert(2, [10.0, 10.0])
-    assert db.stats()["pending_updates"] == 1 and db.centroids().first()["n"] == 1
+    assert db.stats()["pending_updates"] == 1
+    moved = db.centroids().first()  # a running mean until the rebuild
+    assert moved["n"] == 2 and moved["centroid"] == [5.0, 5.0]
     assert ids(db.query([9.0, 9.0], 1)) == [2]
     db.insert(spark.createDataFrame([(3, [1.0, 1.0]), (4, [2.0, 2.0])], VEC))
     assert db.stats()["pending_updates"] == 0 and db.centroids().first()["n"] == 4
@@ -81,3 +83,22 @@ def test_a_commit_that_breaks_off_loses_nothing(spark, tmp_path):
         db.delete([1])
     again.vacuum()
     assert ids(VectorEngine.open(spark, "torn", str(tmp_path)).query_many(spark.createDataFrame([(0, [1.0, 0.1])], "qid long, embedding array<float>"), 2, 1)) == [1, 3]
+
+
+def test_deletes_and_commits(spark, tmp_path, monkeypatch):
+    db = VectorEngine.open(spark, "d", str(tmp_path))
+    rows = [(i, [float(i), 0.0], i % 3) for i in range(12)]
+    db.insert(spark.createDataFrame(rows, VEC + ", home long"), bucket_col="home")
+    before = {r["bucket_id"]: (r["centroid"], r["n"]) for r in db.centroids().collect()}
+    db.delete([0, 3, 1, 4, 7, 10])
+    after = {r["bucket_id"]: (r["centroid"], r["n"]) for r in db.centroids().collect()}
+    assert after == {0: ([7.5, 0.0], 2), 2: before[2]}  # bucket 1 is empty and gone
+    db.insert(spark.createDataFrame([(0, [1.0, 1.0], 2)], VEC + ", home long"), bucket_col="home")  # into another bucket
+    assert db.resolve_buckets([0, 3]).collect() == [(0, 2)] and ids(db.fetch_vectors(0, [0, 6])) == [6]
+    commits = []
+    real = VectorEngine._commit
+    monkeypatch.setattr(VectorEngine, "_commit", lambda self, **c: commits.append(c) or real(self, **c))
+    db.insert(50, [2.0, 2.0])
+    db.delete(50)
+    db.rebalance(threshold=4)
+    assert commits and all("log" in c and "centroids" in c for c in commits)  # no version has rows without their centroids

@@ -16,7 +16,7 @@ SEARCHES = {"knn_exact_top10": 10, "knn_with_vectors": 3 * 64, "route_top3": 3,
 COVERING = {"center_i8": "vec_id", "l2_pairwise": "a", "l2sq_pairwise": "a"}
 WHOLE = (
     "knn_exact_top10 knn_with_vectors knn_probes_1 knn_probes_2 knn_probes_5 knn_probes_10 route_top3 routing_distance recall_at_10 recall_reachable dedupe_keep_nearest"
-    " l2_pairwise l2sq_pairwise center_i8 running_mean_insert insert_accept insert_reject batch_duplicates bulk_ingest_batches bucket_meta_latest active_buckets snapshot_replay"
+    " l2_pairwise l2sq_pairwise center_i8 running_mean_insert insert_accept insert_reject batch_duplicates bulk_ingest_batches bucket_meta_latest active_buckets snapshot_replay install_snapshot build_clusters rebalance_split"
 ).split()
 
 

@@ -55,6 +55,20 @@ def test_splits_and_clusters(spark):
     assert means["centroid"] == [2.0, 4.0] and means["n"] == 2
 
 
+def test_large_buckets_are_split_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "WHOLE", 5)
+    far = [(7, i, [float(i % 2) * 100 + 0.01 * i, 0.0]) for i in range(40)]
+    equal = [(8, 2 * i, [1.0, 1.0]) for i in range(40)]
+    rest = [(9, i, [5.0, 5.0]) for i in range(200, 204)] + [(3, 300, [0.0, 0.0])] + [(7, 99, [1.0]), (7, 98, None)]
+    rows = spark.createDataFrame(far + equal + rest, "bucket_id long, " + VEC).repartition(4)
+    got = {r["vec_id"]: r["bucket_id"] for r in clustering.split_buckets(rows.where("bucket_id <> 8"), [7, 9], 20).collect()}
+    assert len(got) == 47 and got[300] == 3 and {got[i] for i in range(200, 204)} == {22, 23}
+    assert len({got[i] for i in range(0, 40, 2)}) == 1 and len({got[i] for i in range(1, 40, 2)}) == 1 and got[0] != got[1]
+    assert {got[98], got[99]} == {20}
+    sizes = [r["count"] for r in clustering.split_buckets(rows, [8], 20).where("bucket_id >= 20").groupBy("bucket_id").count().collect()]
+    assert len(sizes) == 2 and sum(sizes) == 40
+
+
 def test_placement(spark):
     buckets = spark.range(200).select(F.col("id").alias("bucket_id"))
     four = {r["bucket_id"]: r["shard"] for r in clustering.place_buckets(buckets, 4).collect()}
