@@ -106,14 +106,34 @@ def _encoder(spec: str) -> Encoder:
     return _encoders[key]
 
 
-def _tokenise(spec, bounds, end_id):
+#: Stands for a null doc_id, which comes first.
+_NULL = -(1 << 63)
+
+
+def stretches(quantiles: list[float], ids: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """The stretch of each id, ascending with the ids.
+
+    Quantiles cut the ids into even shares. An id that takes several of them holds that many shares of the
+    rows, and gets as many stretches, dealt by the row's turn.
+    """
+    cuts, shares = np.unique(np.array(quantiles, np.int64), return_counts=True)
+    own = np.where(shares > 1, shares, 0)  # stretches of the id itself, before those of the ids after it
+    first = np.concatenate([[0], 1 + np.cumsum(np.concatenate([[0], own + 1]))[:-1]])
+    at = np.searchsorted(cuts, ids, side="right")
+    own = np.concatenate([[0], own])
+    hot = (own[at] > 0) & (ids == np.concatenate([[0], cuts])[at])
+    return first[at] + np.where(hot, turn % np.maximum(own[at], 1), own[at])
+
+
+def _tokenise(spec, quantiles, end_id):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(spec.value)
+        encoder, seen = _encoder(spec.value), 0
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
             ids = [encoder.encode(x.as_py()) + end for x in batch.column(1)]
             doc = batch.column(0)
-            part = np.searchsorted(bounds, np.asarray(doc.fill_null(-(1 << 62)), np.int64), side="right")
+            part = stretches(quantiles, np.asarray(doc.fill_null(_NULL), np.int64), np.arange(seen, seen + len(doc)))
+            seen += len(doc)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part, pa.int32()), doc, pa.array([len(x) // encoder.kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 ["part", "doc_id", "n_tokens", "ids"],
@@ -179,7 +199,8 @@ def write_tokens(docs: DataFrame, path: str, spec: str, end_id: int = 0) -> None
     """Encode each row's whole text, append end_id, and write the files below `path`.
 
     `spec` is the tokenizer's JSON. Rows are laid out by ascending doc_id, null first, ties by
-    their ids; a repeated row is written again. Null and empty texts are just end_id. An empty
+    their ids; a repeated row is written again. Rows of one doc_id, or of none, that make up several shares of the
+    table are dealt over that many stretches in the order of the input's files, each sorted by itself. Null and empty texts are just end_id. An empty
     table gives files without blocks. Only doc_id and text are read.
     """
     spark = docs.sparkSession
@@ -190,8 +211,9 @@ def write_tokens(docs: DataFrame, path: str, spec: str, end_id: int = 0) -> None
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = width * STRETCHES
-    bounds = np.unique(np.array(source.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)) or [0], np.int64))
-    tokens = source.mapInArrow(_tokenise(sc.broadcast(spec), bounds, end_id), "part int, doc_id long, n_tokens long, ids binary")
+    ids = source.select(F.coalesce("doc_id", F.lit(_NULL)).cast("double").alias("id"))
+    quantiles = ids.approxQuantile("id", [i / n for i in range(1, n)], 1 / (4 * n))
+    tokens = source.mapInArrow(_tokenise(sc.broadcast(spec), quantiles, end_id), "part int, doc_id long, n_tokens long, ids binary")
     order = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids")
     ahead = F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
     held = f"{path}/ids"

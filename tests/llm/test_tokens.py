@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from nearfield.llm import rans
 from nearfield.llm.common import scratch
 from nearfield.llm.queries import tokenizer_json
-from nearfield.llm.tokens import Encoder, read_tokens, write_tokens
+from nearfield.llm.tokens import Encoder, read_tokens, stretches, write_tokens
 
 TEXTS = [
     None, "", " ", "a", "Thston's  thhawhble\n\n st,\tx!", "<|endoftext|> b<|endoftext|>", "漢字 ñandú ²³ Ⅷ\x1f\x85 é́ x", "don't WE'LL 12345 __a__ ñ_1",
@@ -78,6 +78,35 @@ def test_files(spark):
     assert not any(by.values())
 
 
+def test_stretches():
+    ids = np.array([-(1 << 63), 0, 4, 5, 5, 5, 5, 6, 7, 8, 9, 1 << 60])
+    turn = np.arange(len(ids))
+    got = stretches([2.0, 5.0, 5.0, 5.0, 8.0], ids, turn)
+    assert got.tolist() == [0, 0, 1, 2, 3, 4, 2, 5, 5, 6, 6, 6]
+    order = np.argsort(ids, kind="stable")
+    for a, b in zip(order[:-1], order[1:], strict=True):
+        assert ids[a] == ids[b] or got[a] <= got[b]
+    assert len({*got[3:7].tolist()}) == 3 and not {*got[3:7].tolist()} & {*got[:3].tolist(), *got[7:].tolist()}
+    assert stretches([], ids, turn).tolist() == [0] * len(ids)
+    assert stretches([-(2.0**63)] * 3, ids, turn)[0] == 1 and len({*stretches([-(2.0**63)] * 3, ids[:1].repeat(9), np.arange(9)).tolist()}) == 3
+
+
+@pytest.mark.parametrize("hot", [5, None])
+def test_files_of_a_hot_id(spark, hot):
+    spec = tokenizer_json()
+    tokenizer = Tokenizer.from_str(spec)
+    rows = [(i, f"text {i}") for i in range(100)] + [(hot, "same text")] * 60 + [(hot, f"other {i % 7}") for i in range(60)]
+    path = scratch(spark, "test")
+    write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, spec)
+    got = sorted(read_tokens(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((d for d, _ in rows), key=lambda d: -1 if d is None else d)
+    sizes = [(-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got]
+    code = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids + [0], "<u4")
+    want = [(-1 if d is None else d, len(x), zlib.crc32(x.tobytes())) for d, t in rows for x in [code(t)]]
+    assert sorted(sizes) == sorted(want)
+    assert [r["start"] for r in got] == np.cumsum([0, *[n for _, n, _ in sizes]])[:-1].tolist()
+
+
 def test_empty(spark):
     path = scratch(spark, "test")
     write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, tokenizer_json())
