@@ -2,7 +2,8 @@
 
 Files are read through Spark's binaryFile source, so that any store it reaches will do, and
 parsed in workers. A format whose records can't be told apart without reading from the start
-takes one task per file.
+takes one task per file. Unpacked record files of over WHOLE bytes are read by ranges instead, whose
+records must then be of one length; compressed and f32bin files end at 2 GB.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from ..shipping import ship
 
 #: Vectors of one parsed batch.
 BATCH = 10_000
+#: Bytes of a file that a task takes whole.
+WHOLE = 512 << 20
 _VECTORS = "vec_id long, embedding array<float>"
 
 
@@ -93,8 +96,58 @@ def _read(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[pa.R
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, kind)
 
 
+def _placed(dtype: str, n: int):
+    """Vectors of records of n values, which come with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.dtype([("n", "<u4"), ("x", dtype, (n,))])
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), kind)
+            if (rows["n"] != n).any():
+                raise ValueError("records of several lengths in a file that is read by ranges")
+            flat = pa.array(rows["x"].reshape(-1).astype(np.float32))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * n, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["vec_id", "embedding"])
+
+    return run
+
+
+def _by_ranges(spark: SparkSession, path: str, length: int, dtype: str) -> DataFrame:
+    """A file of records of one length, in as many tasks as it has blocks, whatever its size."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        (n,) = struct.unpack("<I", bytes(stream.readNBytes(4)))
+    finally:
+        stream.close()
+    size = 4 + n * np.dtype(dtype).itemsize
+    if length % size:
+        raise ValueError("truncated record, or records of several lengths in a file that is read by ranges")
+    form = "org.apache.spark.input.FixedLengthBinaryInputFormat"
+    records = spark.sparkContext.newAPIHadoopFile(path, form, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={f"{form}.recordLength": str(size)})
+    rows = spark.createDataFrame(records.map(lambda r: (r[0], bytearray(r[1]))), "at long, record binary")
+    return rows.mapInArrow(_placed(dtype, n), _VECTORS)
+
+
+def _read_records(spark: SparkSession, path: str, dtype: str) -> DataFrame:
+    """Files of {u32 n, n values} repeated."""
+    ship(spark)
+    every = spark.read.format("binaryFile").load(path)
+    large = every.where(every["length"] > WHOLE).select("path", "length").collect()  # names only, one a file
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                yield from parse_records(content.as_py(), dtype)
+
+    out = every.where(every["length"] <= WHOLE).select("content").mapInArrow(run, _VECTORS)
+    for file in large:
+        out = out.unionByName(_by_ranges(spark, file["path"], file["length"], dtype))
+    return out
+
+
 def read_fvecs(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, lambda data: parse_records(data, "<f4"), _VECTORS)
+    return _read_records(spark, path, "<f4")
 
 
 def read_bvecs_gz(spark: SparkSession, path: str) -> DataFrame:
@@ -113,9 +166,10 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     """By the name's ending: .fvecs, .bvecs (either gzipped) or .bin."""
     plain = path.removesuffix(".gz")
     dtype = "<f4" if plain.endswith(".fvecs") else "u1" if plain.endswith(".bvecs") else None
+    if dtype and path.endswith(".gz"):
+        return _read(spark, path, lambda data: parse_records(gzip.decompress(data), dtype), _VECTORS)
     if dtype:
-        unpack = gzip.decompress if path.endswith(".gz") else bytes
-        return _read(spark, path, lambda data: parse_records(unpack(data), dtype), _VECTORS)
+        return _read_records(spark, path, dtype)
     if path.endswith(".bin"):
         return read_f32bin(spark, path)
     raise ValueError(f"unknown extension: {path}")

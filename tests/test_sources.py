@@ -39,6 +39,22 @@ def test_readers(spark, tmp_path):
         files.read_any(spark, "x.csv")
 
 
+def test_large_files_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "WHOLE", 100)
+    rows = [(float(i), i / 2, -1.0) for i in range(500)]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/large.fvecs").write_bytes(records(rows, "f"))
+    (tmp_path / "f/small.fvecs").write_bytes(records([(7.0, 8.0)], "f"))
+    (tmp_path / "b.bvecs").write_bytes(records([(i % 256, 1) for i in range(300)], "B"))
+    got = files.read_fvecs(spark, str(tmp_path / "f")).collect()
+    assert sorted(map(tuple, got)) == sorted([(i, list(r)) for i, r in enumerate(rows)] + [(0, [7.0, 8.0])])
+    got = files.read_any(spark, str(tmp_path / "b.bvecs")).collect()
+    assert sorted(map(tuple, got)) == [(i, [float(i % 256), 1.0]) for i in range(300)]
+    (tmp_path / "torn.fvecs").write_bytes(records(rows, "f")[:-1])
+    with pytest.raises(ValueError, match="truncated"):
+        files.read_any(spark, str(tmp_path / "torn.fvecs"))
+
+
 def test_damaged():
     with pytest.raises(ValueError, match="payload truncated"):
         list(files.parse_flat(struct.pack("<IQ", 2, 3) + b"\0" * 8))
