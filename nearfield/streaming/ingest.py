@@ -20,15 +20,16 @@ def ingest_stream(stream: DataFrame, centroids: DataFrame, dim: int, target: str
 
     A batch is written to a folder of its own number, replaced if the batch is run again, so
     that each vector is stored once whatever fails in between. Ids that an earlier batch has
-    stored, or that repeat within one, are left out.
+    stored are left out; of an id that repeats within one the smallest vector stays.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        first = batch.dropDuplicates(["vec_id"])
+        first = batch.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))  # the same however often it is computed
         stored = stored_vectors(spark, target, batch_id)
         if stored is not None:
-            first = first.join(stored.select("vec_id"), "vec_id", "left_anti")
+            known = stored.select("vec_id").join(first.select("vec_id"), "vec_id", "left_semi")  # a small batch goes to what is stored
+            first = first.join(known, "vec_id", "left_anti")
         own = search.route_all(first, centroids, dim)
         first.join(own, "vec_id").select("vec_id", "embedding", "bucket_id").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
