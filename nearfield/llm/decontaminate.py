@@ -1,7 +1,8 @@
 """Benchmark decontamination by winnowing.
 
 Every run of GRAM words is hashed, and of each WINDOW consecutive hashes the smallest is
-selected, the first of equal ones; each selected run is a fingerprint, kept once with its place. A
+selected, the first of equal ones; each selected run is a fingerprint. A text's equal fingerprints
+between equal words are one, with all their places. A
 span of GRAM + WINDOW - 1 = 8 words selects the same run wherever it stands, so that equal spans
 of eight words or more always share a fingerprint. Documents' fingerprints are first held against
 bitmaps of fixed size made of all the benchmark's; the survivors, distinct ones once, are joined
@@ -12,6 +13,7 @@ Where eight words or more agree the stretch is hit.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +29,13 @@ from .words import kgrams, words_of
 SPAN, GRAM, WINDOW = 8, 5, 4
 #: Words by which a window can exceed a run.
 REACH = SPAN - GRAM
+#: Fingerprints that a scan holds as Python objects, and after which it passes on its rows.
+PRINTS = 4096
 
 _PRINT = pa.struct(
-    [("fp", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("run", pa.binary()), ("before", pa.list_(pa.binary())), ("after", pa.list_(pa.binary())), ("context", pa.binary())]
+    [("fp", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.int32()), ("run", pa.binary()), ("before", pa.list_(pa.binary())), ("after", pa.list_(pa.binary())), ("context", pa.binary())]
 )
-_DOC = "uid long, doc_id long, n_words long, prints array<struct<fp:long,at:int,n:int,run:binary,before:array<binary>,after:array<binary>,context:binary>>"
+_DOC = "uid long, doc_id long, n_words long, prints array<struct<fp:long,at:array<int>,n:int,run:binary,before:array<binary>,after:array<binary>,context:binary>>"
 
 
 def selected(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,12 +48,31 @@ def selected(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
-def _print(words: list[bytes], fp: int, at: int, n: int) -> dict:
+def _print(words: list[bytes], fp: int, at: array, n: int) -> dict:
     """A fingerprint with the words around it, the nearest first; n tells whole windows from shorter items."""
     size, reach = (GRAM, REACH) if n == SPAN else (n, 0)
-    run, before, after = b" ".join(words[at : at + size]), words[max(0, at - reach) : at][::-1], words[at + size : at + size + reach]
+    i = at[0]
+    run, before, after = b" ".join(words[i : i + size]), words[max(0, i - reach) : i][::-1], words[i + size : i + size + reach]
     context = hashlib.blake2b(b"%d %d %b\n%b\n%b" % (n, fp, run, b" ".join(before), b" ".join(after)), digest_size=16).digest()
-    return {"fp": fp, "at": at, "n": n, "run": run, "before": before, "after": after, "context": context}
+    return {"fp": fp, "at": np.frombuffer(at, np.int32), "n": n, "run": run, "before": before, "after": after, "context": context}
+
+
+def _prints(words: list[bytes], fps: np.ndarray, at: np.ndarray, n: int) -> Iterator[dict]:
+    """Each fingerprint between the same words once with its places; anew after PRINTS others."""
+    size, reach = (GRAM, REACH) if n == SPAN else (n, 0)
+    places: dict[tuple[int, bytes], tuple[int, array]] = {}
+    for begin in range(0, len(at), PRINTS):
+        part = slice(begin, begin + PRINTS)
+        for i, fp in zip(at[part].tolist(), fps[part].view(np.int64).tolist(), strict=True):
+            around = min(i, reach), b" ".join(words[max(0, i - reach) : i + size + reach])
+            if around in places:
+                places[around][1].append(i)
+            else:
+                places[around] = fp, array("i", [i])
+        if len(places) >= PRINTS or part.stop >= len(at):
+            for fp, each in places.values():
+                yield _print(words, fp, each, n)
+            places = {}
 
 
 def _scan(spans, known, windows):
@@ -64,21 +87,28 @@ def _scan(spans, known, windows):
                 upto = np.append(0, np.cumsum(in_bitmap(windows.value, kgrams(words, SPAN))))
                 near = upto[np.minimum(at + 1, len(upto) - 1)] > upto[np.maximum(at - REACH, 0)]
                 at, fps = at[near], fps[near]
-        for i, fp in zip(at.tolist(), fps.view(np.int64).tolist(), strict=True):
-            yield _print(words, fp, i, span)
+        return _prints(words, fps, at, span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
-            counts, found = [], []
-            for text in batch.column(1):
+            begin, counts, upto, done, loose = 0, [], [0], [], []
+            for row, text in enumerate(batch.column(1), 1):
                 words = words_of(text.as_py())
                 own = spans if spans is not None else [min(SPAN, len(words))] if words else []
                 counts.append(len(words))
-                found.append([p for span in own for p in prints(words, span)])
-            uids = np.arange(uid, uid + batch.num_rows)
+                for p in (p for span in own for p in prints(words, span)):
+                    loose.append(p)
+                    if len(loose) >= PRINTS:
+                        done.append(pa.array(loose, _PRINT))
+                        loose = []
+                upto.append(sum(map(len, done)) + len(loose))
+                if upto[-1] >= PRINTS or row == batch.num_rows:
+                    found = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.concat_arrays([*done, pa.array(loose, _PRINT)]))
+                    uids = np.arange(uid + begin, uid + row)
+                    yield pa.RecordBatch.from_arrays([pa.array(uids), batch.column(0)[begin:row], pa.array(counts, pa.int64()), found], ["uid", "doc_id", "n_words", "prints"])
+                    begin, counts, upto, done, loose = row, [], [0], [], []
             uid += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(uids), batch.column(0), pa.array(counts, pa.int64()), pa.array(found, pa.list_(_PRINT))], ["uid", "doc_id", "n_words", "prints"])
 
     return run
 
@@ -122,18 +152,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) ->
     there = entries.select("fp", "n", "run", F.col("context").alias("entry"), F.col("before").alias("b"), F.col("after").alias("a"))
     both = asked.join(there, ["fp", "n", "run"]).select("context", "entry", "n", _agreeing("before", "b").alias("back"), _agreeing("after", "a").alias("on"))
     size = F.when(F.col("n") == SPAN, GRAM).otherwise(F.col("n"))
-    met = cut(both.where((F.col("n") < SPAN) | (F.col("back") + F.col("on") >= REACH)).select("context", "entry", "back", (F.col("on") + size).alias("on")), "met")
-    hits = prints.select("uid", "at", "context").join(met, "context").select("uid", "entry", (F.col("at") - F.col("back")).alias("s"), (F.col("at") + F.col("on")).alias("e"))
+    both = both.where((F.col("n") < SPAN) | (F.col("back") + F.col("on") >= REACH)).select("context", "entry", "back", (F.col("on") + size).alias("on"))
+    # what agrees around one run is one stretch, as far as the farthest entries reach
+    met = both.groupBy("context").agg(F.max("back").alias("back"), F.max("on").alias("on"), F.array_sort(F.collect_set("entry")).alias("entries"))
+    met = cut(met.withColumn("set", F.sha2(F.array_join(F.transform("entries", F.hex), ","), 256)), "met")
+    hits = prints.select("uid", "at", "context").join(met.drop("entries"), "context")
+    stretches = F.transform("at", lambda at: F.struct((at - F.col("back")).alias("s"), (at + F.col("on")).alias("e")))
     covered = F.expr(
-        "aggregate(array_sort(collect_set(struct(s, e))), struct(0L as n, 0 as upto),"
+        "aggregate(array_sort(flatten(stretches)), struct(0L as n, 0 as upto),"
         " (a, x) -> struct(a.n + greatest(0, x.e - greatest(x.s, a.upto)) as n, greatest(a.upto, x.e) as upto)).n"
     )
-    per = hits.groupBy("uid").agg(covered.alias("n_hit"), F.array_sort(F.collect_set("entry")).alias("entries"))
-    per = cut(per.withColumn("group", F.sha2(F.array_join(F.transform("entries", F.hex), ","), 256)), "per")
+    per = hits.groupBy("uid").agg(F.collect_list(stretches).alias("stretches"), F.array_sort(F.collect_set("set")).alias("sets"))
+    per = cut(per.select("uid", covered.alias("n_hit"), "sets", F.sha2(F.array_join("sets", ","), 256).alias("group")), "per")
 
-    # items are gathered once for all documents that hit the same entries
+    # items are gathered once for all documents that hit the same sets of entries
     members = held.select(F.col("context").alias("entry"), "item", "n").distinct()
-    groups = per.groupBy("group").agg(F.first("entries").alias("entries")).select("group", F.explode("entries").alias("entry")).join(members, "entry")
+    entries_of = met.groupBy("set").agg(F.first("entries").alias("entries"))
+    groups = per.groupBy("group").agg(F.first("sets").alias("sets")).select("group", F.explode("sets").alias("set")).join(entries_of, "set")
+    groups = groups.select("group", F.explode("entries").alias("entry")).join(members, "entry")
     groups = groups.groupBy("group").agg(F.collect_set("item").alias("items"), F.count_distinct(F.when(F.col("n") == SPAN, F.col("item"))).alias("n_long_items"))
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     groups = cut(groups.select("group", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), "n_long_items"), "groups")
